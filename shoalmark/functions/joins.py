@@ -29,14 +29,16 @@ def salted_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    salts: int = 16,
+    salts: int = 32,
 ) -> DataFrame:
-    """Equi-join of row-level data with a per-key table.
+    """Equi-join of row-level data with a table that has one row per key.
 
     ``big`` may have most of its rows on one key: each key is spread over
-    ``salts`` sub-keys, and the per-key rows of ``small`` are repeated once per
-    sub-key.  No broadcast is forced; where ``small`` turns out tiny, adaptive
-    execution measures it and converts the join on its own.
+    ``salts`` sub-keys by a hash of the row, and the per-key rows of ``small``
+    are repeated once per sub-key.  No broadcast is forced: adaptive execution
+    measures ``small`` and converts the join where it is tiny, and splits a
+    sub-key that is still too large.  Keys must not be null in ``big``, or such
+    rows find no partner.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"salting would repeat or lose rows for a {how} join")

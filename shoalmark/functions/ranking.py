@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from .joins import salted_join
 
-BUCKETS = 64
+#: Rows a bucket should hold.  Groups below this size stay whole.
+BUCKET_ROWS = 65_536
+#: Sampled values per bucket, and the most sampled values a group may have.
+PER_BUCKET = 8
+MAX_SAMPLE = 16_384
 
 
 def _group_key(by: Sequence[str]) -> Column:
@@ -23,27 +27,51 @@ def _group_key(by: Sequence[str]) -> Column:
     return (F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))).alias("_g")
 
 
-def _with_bucket(vals: DataFrame, value: str, buckets: int) -> DataFrame:
+def _rank_in(cuts: Column, v: Column) -> Column:
+    """Number of sorted ``cuts`` below ``v`` by binary search; 0 without cuts."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((MAX_SAMPLE // PER_BUCKET).bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.coalesce(F.get(cuts, at + width - 1) < v, F.lit(False)), at + width).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _with_bucket(vals: DataFrame, value: str, bucket_rows: int) -> DataFrame:
     """Attach an order-preserving bucket number, about equally filled per group.
 
-    The cut points come from a mergeable sketch of bounded size.  They decide
-    only how evenly the work is spread: any cut points give exact results.
+    The cut points are taken from the values whose hash falls on a fixed
+    lattice; the lattice is coarser for larger groups, so a group never has
+    more than about ``MAX_SAMPLE`` of them.  They depend on nothing but the
+    data: a recomputed task, or a second evaluation of the plan, finds the same
+    buckets.  They decide only how evenly the work is spread - any cut points
+    give exact results.
     """
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = vals.groupBy("_g").agg(F.percentile_approx(value, grid, F.lit(1000)).alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("int")
-    return salted_join(vals, cuts, ["_g"], "inner").withColumn("_bucket", below).drop("_cuts")
+    base = max(1, bucket_rows // PER_BUCKET)
+    h = F.xxhash64(value)
+    sizes = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
+    candidates = vals.select("_g", value).where(F.pmod(h, F.lit(base)) == 0)
+    lattice = F.ceil(F.col("_size") / (base * MAX_SAMPLE)) * base
+    cuts = (
+        salted_join(candidates, sizes, ["_g"], "inner")
+        .where(F.pmod(h, lattice) == 0)
+        .groupBy("_g")
+        .agg(F.array_sort(F.collect_list(value)).alias("_all"))
+        .select("_g", F.filter("_all", lambda _, i: i % PER_BUCKET == PER_BUCKET - 1).alias("_cuts"))
+    )
+    rows = salted_join(vals, cuts, ["_g"], "left")
+    return rows.withColumn("_bucket", _rank_in(F.col("_cuts"), F.col(value))).drop("_cuts")
 
 
-def positions(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def positions(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``before``: the 0-based position of each row in its group, ordered by ``value``.
 
     ``(by, value)`` must be unique, otherwise the order among equal values is
     arbitrary.
     """
-    rows = _with_bucket(df.withColumn("_g", _group_key(by)), value, buckets)
+    rows = _with_bucket(df.withColumn("_g", _group_key(by)), value, bucket_rows)
     sizes = rows.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_bw"))
-    # At most `buckets` + 1 rows per group reach this window.
+    # One row per bucket reaches this window.
     earlier = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_g", "_bucket", F.coalesce(F.sum("_bw").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_g", "_bucket").orderBy(value)
@@ -60,7 +88,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     weight: str | None = None,
-    buckets: int = BUCKETS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group and probability.
 
@@ -75,9 +103,9 @@ def exact_quantiles(
         .agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
         .where("_w > 0")
     )
-    rows = _with_bucket(vals, "_v", buckets)
+    rows = _with_bucket(vals, "_v", bucket_rows)
     totals = rows.groupBy("_g", "_bucket").agg(F.sum("_w").alias("_bw"))
-    # The windows below see at most `buckets` + 1 rows per group.
+    # One row per bucket reaches these windows.
     group = Window.partitionBy("_g")
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grid = F.array(*[F.lit(float(p)) for p in probs])

@@ -14,7 +14,7 @@ def estimate_with_cv(estimate: str | Column, cv: str | Column) -> Column:
     body = F.concat(
         F.format_number(half_even(estimate), 0),
         F.lit(" ("),
-        F.coalesce(F.format_string("%.3f", half_even(cv, 3)), F.lit("NA")),
+        F.when(cv.isNull(), "NA").otherwise(F.format_string("%.3f", half_even(cv, 3))),
         F.lit(")"),
     )
     return F.when(estimate.isNotNull(), body)
