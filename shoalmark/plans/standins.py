@@ -2,8 +2,10 @@
 
 They give the operators inputs of the right shape, with missing and zero
 variances, unmapped codes, unsurveyed areas and missing names on purpose.
-Fact rows are summed to their join key before a join wherever the view is an
-aggregate, so a key with very many rows is one row by the time it is joined.
+Row-level joins are plain equality joins: where the dimension is small they are
+broadcast by its measured size, where it is not, adaptive execution splits the
+partition of a key with very many rows.  After such a join the rows are summed
+before they are shuffled again.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import positions
 from ..sources.lookups import StrataScheme
+from ..sources.writers import shared_folder
 
 # The stand-in stratification over part sizes.
 S9 = StrataScheme(
@@ -69,14 +72,37 @@ def _merged_variance() -> Column:
     return F.try_divide(F.greatest(m2, F.lit(0.0)), (n - 1).cast("double"))
 
 
+# Declared schemas of the test tables: no file is opened to infer one.
+BASE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that later passes do not compute it again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
-    """Base tables and stand-in views of one data directory; every view is a lazy plan."""
+    """Base tables and stand-in views of one data directory; every view but ``draws`` is a lazy plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(BASE[name]).parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def _geo(self) -> DataFrame:
@@ -85,22 +111,18 @@ class Tables:
 
     @cached_property
     def survey_area(self) -> DataFrame:
-        year, size = F.col("year"), F.col("p_size")
-        per_part = (
-            self.base("lineitem")
-            .groupBy("l_partkey", F.year("l_shipdate").alias("year"))
-            .agg(*_moments("l_extendedprice"))
-        )
-        n = F.sum("_n")
+        year, size, price = F.year("l_shipdate"), F.col("p_size"), F.col("l_extendedprice")
+        n = F.count(F.lit(1))
         return (
-            per_part.join(self.base("part"), F.col("l_partkey") == F.col("p_partkey"))
+            self.base("lineitem")
+            .join(self.base("part"), F.col("l_partkey") == F.col("p_partkey"))
             .where(
                 ~(size.between(29, 37) & year.isin(1996, 1998))
                 & ~(size.between(38, 46) & year.isin(1996, 1997, 1998, 2000))
                 & ~((size.between(19, 28) | size.between(35, 37)) & (year == 2001))
             )
-            .groupBy(F.col("p_type").alias("species"), "year", F.col("p_size").alias("area_id"))
-            .agg((F.sum("_s") / 1000).alias("_b"), (_merged_variance() * n / 1_000_000).alias("_v"), n.alias("n_haul"))
+            .groupBy(F.col("p_type").alias("species"), year.alias("year"), F.col("p_size").alias("area_id"))
+            .agg((F.sum(price) / 1000).alias("_b"), (F.var_samp(price) * n / 1_000_000).alias("_v"), n.alias("n_haul"))
             .select(
                 "species",
                 "year",
@@ -172,15 +194,9 @@ class Tables:
 
     @cached_property
     def limits(self) -> DataFrame:
-        per_customer = (
-            self.base("orders")
-            .groupBy("o_custkey", F.year("o_orderdate").alias("year"))
-            .agg(F.sum("o_totalprice").alias("_p"))
-        )
-        total = F.sum("_p")
+        total = F.sum("o_totalprice")
         return (
-            per_customer.join(self.customer_geo, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy("year", F.col("r_name").alias("area"))
+            self.order_geo.groupBy(F.year("o_orderdate").alias("year"), F.col("r_name").alias("area"))
             .agg((total / 100000).alias("abc"), (total / 75000).alias("ofl"))
         )
 
@@ -283,11 +299,13 @@ class Tables:
 
     @cached_property
     def draws(self) -> DataFrame:
+        """Numbered draws of two samplers.  They are landed once, as sampler output is a stored table."""
         ev = (
             self.base("events")
             .where(F.col("event_type").isin("click", "view"))
             .select(F.col("event_type").alias("sampler"), "event_id", "value")
         )
-        return positions(ev, ["sampler"], "event_id").select(
+        numbered = positions(ev, ["sampler"], "event_id").select(
             "sampler", F.col("before").alias("draw_id"), F.ln("value").alias("V1"), (F.col("value") / 100).alias("V2")
         )
+        return landed(numbered)
