@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Lookup tables are configuration (strata, gears, scenarios).  They are built
 #: from Python rows, so their size is known before anything is broadcast.
@@ -16,12 +19,22 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     """Configuration rows as a DataFrame marked for broadcasting.
 
     Refuses more rows than a broadcast can safely carry, so the hint below is
-    backed by a checked size.
+    backed by a checked size.  The rows become part of the plan (a local table),
+    no job is needed to read them.
     """
     rows = list(rows)
     if len(rows) > MAX_LOOKUP_ROWS:
         raise ValueError(f"{len(rows)} rows are too many for a lookup; store them as a table and join it")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    fields = T.StructType.fromDDL(schema).fields
+
+    def column(i: int, kind: T.DataType) -> pa.Array:
+        values = [r[i] for r in rows]
+        if isinstance(kind, T.MapType):
+            values = [None if v is None else list(v.items()) for v in values]
+        return pa.array(values, to_arrow_type(kind))
+
+    table = pa.table({f.name: column(i, f.dataType) for i, f in enumerate(fields)})
+    return F.broadcast(spark.createDataFrame(table, schema))
 
 
 def salted_join(

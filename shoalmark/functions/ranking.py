@@ -34,7 +34,8 @@ def _rank_in(cuts: Column, v: Column) -> Column:
     def step(at: Column, width: Column) -> Column:
         return F.when(F.coalesce(F.get(cuts, at + width - 1) < v, F.lit(False)), at + width).otherwise(at)
 
-    return F.aggregate(steps, F.lit(0), step)
+    # Never null, and known to be: a join on it then needs no second evaluation to test for null.
+    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))
 
 
 def _with_bucket(vals: DataFrame, value: str, bucket_rows: int) -> DataFrame:
