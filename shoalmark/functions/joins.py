@@ -37,6 +37,22 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(spark.createDataFrame(table, schema))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a missing key matches a missing key; the keys of ``left`` are kept.
+
+    Stays a hash or sort-merge join.  For inner, left and left-semi joins.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"the keys of the right side would be needed for a {how} join")
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        nullable = left.schema[k].nullable and right.schema[k].nullable
+        hit = left[k].eqNullSafe(renamed[f"_r_{k}"]) if nullable else left[k] == renamed[f"_r_{k}"]
+        on = hit if on is None else on & hit
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -44,18 +60,15 @@ def salted_join(
     how: str = "left",
     salts: int = 32,
 ) -> DataFrame:
-    """Equi-join of row-level data with a table that has one row per key.
+    """Equi-join of row-level data with a table that has one row per key; missing keys match.
 
     ``big`` may have most of its rows on one key: each key is spread over
     ``salts`` sub-keys by a hash of the row, and the per-key rows of ``small``
     are repeated once per sub-key.  No broadcast is forced: adaptive execution
     measures ``small`` and converts the join where it is tiny, and splits a
-    sub-key that is still too large.  Keys must not be null in ``big``, or such
-    rows find no partner.
+    sub-key that is still too large.
     """
-    if how not in ("left", "inner", "left_semi"):
-        raise ValueError(f"salting would repeat or lose rows for a {how} join")
     spread = [c for c in big.columns if c not in keys] or list(keys)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(left, right, [*keys, "_salt"], how).drop("_salt")

@@ -29,7 +29,8 @@ def _group_key(by: Sequence[str]) -> Column:
 
 def _rank_in(cuts: Column, v: Column) -> Column:
     """Number of sorted ``cuts`` below ``v`` by binary search; 0 without cuts."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((MAX_SAMPLE // PER_BUCKET).bit_length()))])
+    widths = [1 << i for i in reversed(range((MAX_SAMPLE // PER_BUCKET).bit_length()))]
+    steps = F.expr(f"array({', '.join(map(str, widths))})")
 
     def step(at: Column, width: Column) -> Column:
         return F.when(F.coalesce(F.get(cuts, at + width - 1) < v, F.lit(False)), at + width).otherwise(at)
@@ -50,12 +51,12 @@ def _with_bucket(vals: DataFrame, value: str, bucket_rows: int) -> DataFrame:
     """
     base = max(1, bucket_rows // PER_BUCKET)
     h = F.xxhash64(value)
-    sizes = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"))
     candidates = vals.select("_g", value).where(F.pmod(h, F.lit(base)) == 0)
-    lattice = F.ceil(F.col("_size") / (base * MAX_SAMPLE)) * base
+    found = candidates.groupBy("_g").agg(F.count(F.lit(1)).alias("_found"))
+    coarser = F.ceil(F.col("_found") / MAX_SAMPLE) * base
     cuts = (
-        salted_join(candidates, sizes, ["_g"], "inner")
-        .where(F.pmod(h, lattice) == 0)
+        salted_join(candidates, found, ["_g"], "inner")
+        .where(F.pmod(h, coarser) == 0)
         .groupBy("_g")
         .agg(F.array_sort(F.collect_list(value)).alias("_all"))
         .select("_g", F.filter("_all", lambda _, i: i % PER_BUCKET == PER_BUCKET - 1).alias("_cuts"))
@@ -109,7 +110,7 @@ def exact_quantiles(
     # One row per bucket reaches these windows.
     group = Window.partitionBy("_g")
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = F.array(*[F.lit(float(p)) for p in probs])
+    grid = doubles(probs)
 
     def neighbours_in(n: Column, start: Column, end: Column) -> Column:
         """Probabilities with a neighbour position inside ``[start, end)``."""
@@ -143,6 +144,11 @@ def exact_quantiles(
     return out.select(*[F.col("_g")[c].alias(c) for c in by], "prob", "n", "q")
 
 
+def doubles(values: Sequence[float]) -> Column:
+    """Array literal of doubles."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
 def grid_probs(steps: int = 100) -> list[float]:
     """0 to 1 in equal steps."""
     return [i / steps for i in range(steps + 1)]

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.nulls import half_even, strict_sum, sum_or_zero
 from ..sources.lookups import recode
 
@@ -114,7 +115,7 @@ def catch_vs_limit(limits: DataFrame, area_catch: DataFrame, after: int = 2009,
     this table.  Both sides have one row per year, area and class.
     """
     window = (F.col("year") > after) & (F.col("year") < before)
-    return limits.where(window).join(area_catch.where(window), ["year", "area"], "left")
+    return null_safe_join(limits.where(window), area_catch.where(window), ["year", "area"], "left")
 
 
 def stack_biomass(parts: Sequence[DataFrame], digits: int = 0) -> DataFrame:
@@ -139,11 +140,9 @@ def survey_series(
     its size, to broadcast it.
     """
     tier = reference.select("species_code", "tier")
+    by_species = survey.where(F.col("year") >= since).groupBy("year", "species_code")
     return (
-        survey.where(F.col("year") >= since)
-        .groupBy("year", "species_code")
-        .agg(F.sum("area_biomass").alias("_b"))
-        .join(tier, "species_code", "left")
+        null_safe_join(by_species.agg(F.sum("area_biomass").alias("_b")), tier, ["species_code"], "left")
         .where(F.col("tier").isin(list(tiers)))
         .groupBy("year")
         .agg(half_even(sum_or_zero("_b"), digits).alias("survey_biomass"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe_join
 from ..functions.nulls import half_even, ratio, strict_sum, sum_or_zero
 from ..sources.lookups import category_rank, recode
 from .depth import share_of_partition
@@ -101,7 +102,7 @@ def previous_assessment_change(new: DataFrame, old: DataFrame, before: int, by:
     keys = [*by, "year"]
     a = new.where(F.col("year") < before).select(*keys, F.col("pred").alias("pred_new"))
     b = old.where(F.col("year") < before).select(*keys, F.col("pred").alias("pred_old"))
-    return a.join(b, keys).withColumn("pct_change", ratio(F.col("pred_new") - F.col("pred_old"), "pred_old") * 100)
+    return null_safe_join(a, b, keys).withColumn("pct_change", ratio(F.col("pred_new") - F.col("pred_old"), "pred_old") * 100)
 
 
 def apportionment(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import right_closed_bin
+from ..functions.joins import null_safe_join
 from ..functions.nulls import ratio, strict_mean
 
 
@@ -54,7 +55,7 @@ def depth_profile_hauls(
     )
     rows, kg = F.coalesce("_n", F.lit(1)), F.coalesce("_w", F.lit(0.0))
     profile = (
-        hauls.join(per_haul, "haul", "left")
+        null_safe_join(hauls, per_haul, ["haul"], "left")
         .groupBy(F.col(region).alias("region"), right_closed_bin("depth", width, top).alias("bin"))
         .agg(ratio(F.sum(kg), F.sum(rows)).alias("mean_cpue"))
     )

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import lookup, salted_join
+from ..functions.joins import lookup, null_safe_join, salted_join
 from ..functions.nulls import finite, ratio
-from ..functions.ranking import exact_quantiles, grid_probs
+from ..functions.ranking import doubles, exact_quantiles, grid_probs
 from ..functions.text import one_decimal
 from ..sources.lookups import recode
 
@@ -58,7 +58,7 @@ def relative_error(true: DataFrame, recovered: DataFrame) -> DataFrame:
     errors = paired.withColumn("re", ratio(F.col("model") - F.col("estimate"), "model") * 100)
     medians = exact_quantiles(errors, ["parameter"], "re", [0.5]).select("parameter", F.col("q").alias("median_re"))
     failed = errors.groupBy("parameter").agg(F.avg(F.col("estimate").isNull().cast("int")).alias("share_missing"))
-    per_parameter = failed.join(medians, "parameter", "left").withColumn(
+    per_parameter = null_safe_join(failed, medians, ["parameter"], "left").withColumn(
         "label", one_decimal("median_re", "Median RE=", "%")
     )
     return salted_join(errors, per_parameter, ["parameter"], "left")
@@ -122,17 +122,14 @@ def posterior_summary(
     and no R-hat.
     """
     by = ["sampler", "parameter"]
-    long = long_draws(chain_index(draws, chains, ["sampler"]), ["sampler", "chain", "iter", "draws_per_chain"], names)
-    q = exact_quantiles(long, by, "value", [0.025, 0.5, 0.975])
+    q = exact_quantiles(long_draws(draws, ["sampler"], names), by, "value", [0.025, 0.5, 0.975])
+    chained = long_draws(chain_index(draws, chains, ["sampler"]), ["sampler", "chain", "iter", "draws_per_chain"], names)
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("q")))
 
-    summary = (
-        q.groupBy(*by)
-        .agg(at(0.5).alias("median"), at(0.025).alias("lower"), at(0.975).alias("upper"))
-        .join(split_rhat(long, by), by, "left")
-    )
+    spread = q.groupBy(*by).agg(at(0.5).alias("median"), at(0.025).alias("lower"), at(0.975).alias("upper"))
+    summary = null_safe_join(spread, split_rhat(chained, by), by, "left")
     if point is None:
         return summary
     fit = point.select(
@@ -214,11 +211,9 @@ def retrospective_abc(
     retention first, so the limit is not repeated.
     """
     catch = area_catch.groupBy("year", "area").agg(F.sum("catch").alias("catch"))
-    return (
-        projections.withColumn("implied_abc", F.lit(factor) * F.lit(m) * F.col("pred"))
-        .join(limits.select("year", "area", "abc"), ["year", "area"], "left")
-        .join(catch, ["year", "area"], "left")
-    )
+    implied = projections.withColumn("implied_abc", F.lit(factor) * F.lit(m) * F.col("pred"))
+    adopted = null_safe_join(implied, limits.select("year", "area", "abc"), ["year", "area"], "left")
+    return null_safe_join(adopted, catch, ["year", "area"], "left")
 
 
 # --- random-walk smoother ----------------------------------------------------
@@ -229,67 +224,47 @@ def pe_grid(lo: float = -4.0, hi: float = 0.0, step: float = 0.05) -> list[float
     return [round(lo + i * step, 10) for i in range(round((hi - lo) / step) + 1)]
 
 
-def _filter_step(s2: Column):
-    """One year of the forward filter; the state is the level, its variance and the log-likelihood."""
-
-    def step(state: Column, o: Column) -> Column:
-        ahead = state["p"] + s2
-        f = ahead + o["r"]
-        e = o["y"] - state["x"]
-        gain = ahead / f
-        observed = o["y"].isNotNull() & o["r"].isNotNull()
-        started = state["x"].isNotNull()
-
-        def of(x: Column, p: Column, ll: Column) -> Column:
-            return F.struct(x.alias("x"), p.alias("p"), ll.alias("ll"))
-
-        update = of(
-            state["x"] + gain * e,
-            ahead * (1 - gain),
-            state["ll"] - (F.ln(F.lit(2 * 3.141592653589793) * f) + e * e / f) / 2,
-        )
-        first = of(o["y"], o["r"], state["ll"])
-        return (
-            F.when(observed & started, update)
-            .when(observed, first)
-            .when(started, of(state["x"], ahead, state["ll"]))
-            .otherwise(state)
-        )
-
-    return step
-
-
-def _start() -> Column:
-    none = F.lit(None).cast("double")
-    return F.struct(none.alias("x"), none.alias("p"), F.lit(0.0).alias("ll"))
+# State of the forward filter: level x, its variance p, log-likelihood ll.  One observation o has the log index y
+# and its variance r; both are null in a year without one.  The first observation sets the state.
+_START = "named_struct('x', CAST(NULL AS DOUBLE), 'p', CAST(NULL AS DOUBLE), 'll', 0D)"
+_STEP = """
+CASE
+  WHEN o.y IS NULL OR o.r IS NULL THEN named_struct('x', {s}.x, 'p', {s}.p + {var}, 'll', {s}.ll)
+  WHEN {s}.x IS NULL THEN named_struct('x', o.y, 'p', o.r, 'll', {s}.ll)
+  ELSE named_struct(
+    'x', {s}.x + ({s}.p + {var}) / ({s}.p + {var} + o.r) * (o.y - {s}.x),
+    'p', ({s}.p + {var}) * (1 - ({s}.p + {var}) / ({s}.p + {var} + o.r)),
+    'll', {s}.ll - (ln(2 * pi() * ({s}.p + {var} + o.r)) + (o.y - {s}.x) * (o.y - {s}.x) / ({s}.p + {var} + o.r)) / 2)
+END"""
 
 
-def _smooth(obs: Column, s2: Column) -> Column:
-    """Filter forward keeping the history, then run backward over it; one struct per year."""
-    empty = F.array().cast("array<struct<x:double,p:double,ll:double>>")
-    step = _filter_step(s2)
+def _loglik(obs: str, var: str) -> Column:
+    """Log-likelihood of a series under process variance ``var``, without keeping the states."""
+    return F.expr(f"aggregate({obs}, {_START}, (s, o) -> {_STEP.format(s='s', var=var)}, s -> s.ll)")
 
-    def keep(acc: Column, o: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1))).otherwise(_start())
-        return F.concat(acc, F.array(step(last, o)))
 
-    history = F.aggregate(obs, empty, keep)
-    none = F.array().cast("array<struct<x:double,p:double>>")
+def _smooth(obs: str, var: str) -> Column:
+    """Filter forward keeping the states, then run backward over them; one struct (x, p) per year.
 
-    def back(acc: Column, h: Column) -> Column:
-        # `acc` is newest first; its last element is the following year.
-        nxt = F.element_at(acc, -1)
-        j = h["p"] / (h["p"] + s2)
-        smoothed = F.struct(
-            (h["x"] + j * (nxt["x"] - h["x"])).alias("x"),
-            (h["p"] + j * j * (nxt["p"] - h["p"] - s2)).alias("p"),
-        )
-        before_data = F.struct(nxt["x"].alias("x"), (nxt["p"] + s2).alias("p"))
-        newest = F.struct(h["x"].alias("x"), h["p"].alias("p"))
-        value = F.when(F.size(acc) == 0, newest).when(h["x"].isNull(), before_data).otherwise(smoothed)
-        return F.concat(acc, F.array(value))
-
-    return F.reverse(F.aggregate(F.reverse(history), none, back))
+    A year before the first observation takes the following level, with the
+    variance growing by ``var`` per year.
+    """
+    step = _STEP.format(s="coalesce(get(h, size(h) - 1), " + _START + ")", var=var)
+    forward = f"""aggregate({obs}, CAST(array() AS ARRAY<STRUCT<x: DOUBLE, p: DOUBLE, ll: DOUBLE>>),
+      (h, o) -> concat(h, array({step})))"""
+    # b is newest first: its last element is the following year.
+    nxt = "get(b, size(b) - 1)"
+    gain = f"(f.p / (f.p + {var}))"
+    back = f"""
+    CASE
+      WHEN size(b) = 0 THEN named_struct('x', f.x, 'p', f.p)
+      WHEN f.x IS NULL THEN named_struct('x', {nxt}.x, 'p', {nxt}.p + {var})
+      ELSE named_struct(
+        'x', f.x + {gain} * ({nxt}.x - f.x),
+        'p', f.p + {gain} * {gain} * ({nxt}.p - f.p - {var}))
+    END"""
+    return F.expr(f"""reverse(aggregate(reverse({forward}), CAST(array() AS ARRAY<STRUCT<x: DOUBLE, p: DOUBLE>>),
+      (b, f) -> concat(b, array({back}))))""")
 
 
 def smooth_index(
@@ -329,7 +304,7 @@ def smooth_index(
     series = (
         yearly.groupBy(*by, "strata")
         .agg(F.map_from_entries(F.collect_list(in_span)).alias("_map"))
-        .withColumn("_g", group)
+        .withColumn("_k", F.struct(*by, group.alias("_g")))
         .withColumn(
             "_obs",
             F.transform(
@@ -342,20 +317,18 @@ def smooth_index(
         )
         .drop("_map")
     )
-    s2 = F.exp(F.col("_s") * 2)
     scored = (
-        series.withColumn("_s", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-        .withColumn("_ll", F.aggregate("_obs", _start(), _filter_step(s2))["ll"])
-        .groupBy(*by, "_g", "_s")
+        series.withColumn("_s", F.explode(doubles(grid)))
+        .withColumn("_ll", _loglik("_obs", "exp(2 * _s)"))
+        .groupBy("_k", "_s")
         .agg(F.sum("_ll").alias("_ll"))
     )
-    best = scored.groupBy(*by, "_g").agg(F.max(F.struct("_ll", (-F.col("_s")).alias("_neg"))).alias("_b"))
-    best = best.select(*by, "_g", F.col("_b._ll").alias("loglik"), (-F.col("_b._neg")).alias("_s"))
-    keys = [*by, "_g"]
+    best = scored.groupBy("_k").agg(F.max(F.struct("_ll", (-F.col("_s")).alias("_neg"))).alias("_b"))
+    best = best.select("_k", F.col("_b._ll").alias("loglik"), (-F.col("_b._neg")).alias("_s"))
     se = F.sqrt("_e.p")
     return (
-        series.join(best, keys)
-        .withColumn("_path", _smooth(F.col("_obs"), s2))
+        series.join(best, "_k")
+        .withColumn("_path", _smooth("_obs", "exp(2 * _s)"))
         .select(
             *by,
             "strata",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import threshold_label, unit_bin
-from ..functions.joins import salted_join
+from ..functions.joins import null_safe_join, salted_join
 from ..functions.nulls import first_present, ratio, strict_sum, sum_or_zero
 from ..functions.ranking import exact_quantiles
 from ..sources.lookups import DEEPEST_CLASS, DEPTH_CLASSES, FISHERY_GEARS, TRAWL_AREAS, StrataScheme, recode
@@ -151,7 +151,9 @@ def length_density(
 
 def mean_length_pair(a: DataFrame, b: DataFrame, on: Sequence[str] = ("year",)) -> DataFrame:
     """Mean lengths of two surveys in the years both have: ``year, mean_a, mean_b``."""
-    return a.select(*on, F.col("mean").alias("mean_a")).join(b.select(*on, F.col("mean").alias("mean_b")), list(on))
+    return null_safe_join(
+        a.select(*on, F.col("mean").alias("mean_a")), b.select(*on, F.col("mean").alias("mean_b")), list(on)
+    )
 
 
 def longline_depth_lengths(df: DataFrame, areas: dict[str, str]) -> DataFrame:

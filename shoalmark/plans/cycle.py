@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +22,22 @@ def model_inputs(
     areas: dict[str, str] = LONGLINE_AREAS,
     ref_years: tuple[int, int] | None = None,
     by: Sequence[str] = (),
+    land: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The five model input tables of a cycle, each a lazy plan.
 
+    Four of them start from the trawl table.  Where that is itself the result of
+    a large scan, pass ``land`` (see ``writers.land``): it is applied to the two
+    survey tables, which are then computed once for all five outputs.
+
     ``fills`` defaults to the three mid-depth strata, the eastern one only in
     years in which its shallow stratum was surveyed.  ``ref_years`` limits the
     years that enter the imputation mean; without it every year counts.
     """
     if fills is None:
         fills = {"WGOA_501_700": None, "CGOA_501_700": None, "EGOA_501_700": "EGOA_0_500"}
+    if land is not None:
+        biom, lls = land(biom), land(lls)
     three = ix.trawl_index(biom, fine, by)
     two = ix.trawl_index(biom, coarse, by)
     imputed = ix.impute_stratum_mean(three, fills, ref_years, by).where(F.col("year") < redesign_year)

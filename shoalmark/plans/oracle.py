@@ -94,7 +94,7 @@ VIEWS["true_values"] = "SELECT event_type AS parameter, avg(value) AS model FROM
 
 VIEWS["draws"] = """
 SELECT event_type AS sampler, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw_id,
-  ln(value) AS V1, value/100 AS V2 FROM events WHERE event_type IN ('click', 'view')"""
+  CASE WHEN value > 0 THEN ln(value) END AS V1, value/100 AS V2 FROM events WHERE event_type IN ('click', 'view')"""
 
 VIEWS["survey_filled"] = """
 SELECT species, year, area_id, biomass_mt, n_haul,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from ..operators import index as ix
+from ..sources.writers import land
 from .cycle import model_inputs
 from .oracle import r, sql
 from .registry import query
@@ -203,7 +204,7 @@ SELECT tab, species, year, strata, {r('biomass', digits=7)}, {r('cpue', digits=7
 def _(t):
     # `longline` keeps years after 1995 only, as the default of the bundle is 1991.
     lls = t.lls_area.where(F.col("year") > 1995).withColumnRenamed("mgmt_area", "council_management_area")
-    bundle = model_inputs(t.survey_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP)
+    bundle = model_inputs(t.survey_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, land=land)
     out = None
     for name, df in bundle.items():
         df = df.drop("n").withColumn("tab", F.lit(name))

@@ -171,7 +171,7 @@ SELECT sampler, parameter, median, lower, upper, rhat FROM (
   SELECT sampler, parameter, median(value) AS median, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper
   FROM chain_long GROUP BY sampler, parameter)
 JOIN (SELECT sampler, parameter, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM (
-  SELECT sampler, parameter, chain, iter <= draws_per_chain / 2.0 AS half, avg(value) AS m, var_samp(value) AS v, count(*) AS n
+  SELECT sampler, parameter, chain, iter <= draws_per_chain / 2.0 AS half, avg(value) AS m, var_samp(value) AS v, count(value) AS n
   FROM chain_long GROUP BY ALL) GROUP BY sampler, parameter) USING (sampler, parameter)
 UNION ALL
 SELECT 'point fit', parameter, est, est - 1.96 * sd, est + 1.96 * sd, NULL FROM (

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import positions
 from ..sources.lookups import StrataScheme
-from ..sources.writers import shared_folder
+from ..sources.writers import land
 
 # The stand-in stratification over part sizes.
 S9 = StrataScheme(
@@ -88,13 +88,6 @@ BASE = {
 }
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later passes do not compute it again."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Tables:
     """Base tables and stand-in views of one data directory; every view but ``draws`` is a lazy plan."""
 
@@ -306,6 +299,6 @@ class Tables:
             .select(F.col("event_type").alias("sampler"), "event_id", "value")
         )
         numbered = positions(ev, ["sampler"], "event_id").select(
-            "sampler", F.col("before").alias("draw_id"), F.ln("value").alias("V1"), (F.col("value") / 100).alias("V2")
+            "sampler", F.col("before").alias("draw_id"), F.when(F.col("value") > 0, F.ln("value")).alias("V1"), (F.col("value") / 100).alias("V2")
         )
-        return landed(numbered)
+        return land(numbered)

@@ -27,6 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(base, uuid.uuid4().hex)
 
 
+def land(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For a table several later steps read: it is computed once, and a lost
+    executor costs a re-read, not a recomputation.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV with a header and ``NA`` for missing."""
     df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)

@@ -189,3 +189,12 @@ def test_ratio_imputation(spark):
     )
     got = {(r.year, r.strata): r.biomass for r in nf.impute_stratum_ratio(df, {"m": "s"}).collect()}
     assert got[(2, "m")] == pytest.approx(0.3 * 20) and got[(3, "m")] is None
+
+
+def test_smoother_keeps_series_with_a_missing_key(spark):
+    df = spark.createDataFrame(
+        [(None, "A", 2000, 5.0, 0.2), ("s", "A", 2000, 6.0, 0.2), ("s", "Z", 2000, 7.0, 0.2)],
+        "species string, strata string, year int, biomass double, cv double",
+    )
+    out = nf.smooth_index(df, 2000, 2001, {"A": "g"}, by=["species"]).collect()
+    assert {(r.species, r.strata): round(r.pred, 6) for r in out if r.year == 2000} == {(None, "A"): 5.0, ("s", "A"): 6.0, ("s", "Z"): 7.0}

@@ -93,3 +93,15 @@ def test_salted_join_keeps_every_row_once(spark):
 def test_lookup_refuses_what_is_too_large_to_broadcast(spark):
     with pytest.raises(ValueError):
         lookup(spark, [(i,) for i in range(100_001)], "a int")
+
+
+def test_missing_keys_match_in_both_joins(spark):
+    from shoalmark.functions.joins import null_safe_join
+
+    a = spark.createDataFrame([(None, 1, 1), ("x", 1, 2), ("y", None, 3)], "k string, y int, v int")
+    b = spark.createDataFrame([(None, 1, "n"), ("y", None, "m")], "k string, y int, t string")
+    got = {(r.v, r.t) for r in null_safe_join(a, b, ["k", "y"], "left").collect()}
+    assert got == {(1, "n"), (2, None), (3, "m")}
+    assert {(r.v, r.t) for r in salted_join(a, b, ["k", "y"], "inner").collect()} == {(1, "n"), (3, "m")}
+    plan = null_safe_join(a, b, ["k", "y"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
