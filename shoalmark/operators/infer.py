@@ -27,24 +27,21 @@ def strata_correlation(
     not count for that pair.
     """
     strata = list(strata)
-    fn = {"corr": F.corr, "covar_samp": F.covar_samp}[stat]
+    if stat not in ("corr", "covar_samp"):
+        raise ValueError(f"unknown statistic {stat}")
     wide = df.groupBy(*by, "year").pivot("strata", strata).agg(F.max(value))
     pairs = [(a, b) for i, a in enumerate(strata) for b in strata[i:]]
 
-    def cell(a: str, b: str) -> Column:
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        both = x.isNotNull() & y.isNotNull()
-        return fn(F.when(both, x), F.when(both, y))
-
-    stats = wide.groupBy(*by).agg(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("strata_a"), F.lit(b).alias("strata_b"), finite(cell(a, b)).alias(stat))
-                for a, b in pairs
-            ]
-        ).alias("_m")
-    )
-    return stats.select(*by, F.inline("_m"))
+    def cell(i: int, a: str, b: str) -> Column:
+        # Both aggregates skip a row in which one of the two is missing.
+        x, y = (s.replace("`", "``") for s in (a, b))
+        return F.expr(f"{stat}(`{x}`, `{y}`)").alias(f"_{i}")
+
+    stats = wide.groupBy(*by).agg(*[cell(i, a, b) for i, (a, b) in enumerate(pairs)])
+    text = {s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in strata}
+    named = ", ".join(f"{text[a]}, {text[b]}, _{i}" for i, (a, b) in enumerate(pairs))
+    long = stats.select(*by, F.expr(f"stack({len(pairs)}, {named}) AS (strata_a, strata_b, _v)"))
+    return long.select(*by, "strata_a", "strata_b", finite("_v").alias(stat))
 
 
 def relative_error(true: DataFrame, recovered: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .standins import Tables
@@ -18,13 +17,14 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded (and -0.0 turned into 0.0), whole numbers widened, for a value-by-value comparison."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            out.append(f"round(CAST({c} AS DOUBLE), {digits}) + 0D AS {c}")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"CAST({c} AS BIGINT) AS {c}")
+        else:
+            out.append(c)
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None, digits: int = 6):

@@ -198,3 +198,10 @@ def test_smoother_keeps_series_with_a_missing_key(spark):
     )
     out = nf.smooth_index(df, 2000, 2001, {"A": "g"}, by=["species"]).collect()
     assert {(r.species, r.strata): round(r.pred, 6) for r in out if r.year == 2000} == {(None, "A"): 5.0, ("s", "A"): 6.0, ("s", "Z"): 7.0}
+
+
+def test_correlation_with_awkward_labels(spark):
+    rows = [(s, y, float(v)) for s, vs in (("it's `a`", (1, 2, 4)), ("b (0-500 m)", (2, 4, 9))) for y, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "strata string, year int, pred double")
+    got = {(r.strata_a, r.strata_b): r["corr"] for r in nf.strata_correlation(df, ["it's `a`", "b (0-500 m)"]).collect()}
+    assert got[("it's `a`", "b (0-500 m)")] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 9])[0, 1])
