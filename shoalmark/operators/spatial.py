@@ -96,32 +96,39 @@ def project_albers(
 
 
 def points_in_strata(
-    pts: DataFrame, polys: DataFrame, x: str = "lon", y: str = "lat", cell: float = 1.0, salts: int = 8
+    pts: DataFrame, polys: DataFrame, x: str = "lon", y: str = "lat", cell: float | None = None, salts: int = 8
 ) -> DataFrame:
     """Points that lie inside at least one polygon; each point comes out once.
 
     ``polys`` is ``(poly_id, ring, xmin, xmax, ymin, ymax)``.  Points and
-    polygon boxes meet on a grid of ``cell`` units, so only polygons near a
-    point are tested, and the join is a semi-join on the cell.  Points are
-    spread over ``salts`` sub-keys, so a cell with most of the points is shared
-    by several tasks.  Choose ``cell`` near the size of a typical polygon: the
-    ring is repeated for every cell its box touches.
+    polygon boxes meet on a square grid, so only polygons near a point are
+    tested, and the join is a semi-join on the grid cell.  Points are spread
+    over ``salts`` sub-keys, so a cell with most of the points is shared by
+    several tasks.  ``cell`` is the grid step in the units of the coordinates;
+    by default an eighth of the largest box, with which no ring is repeated for
+    more than 81 cells.
     """
+    if cell is None:
+        widest = F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+        step = polys.agg(F.nullif(widest / 8, F.lit(0.0))).scalar()
+    else:
+        step = F.lit(float(cell))
 
-    def floor_to(c: Column) -> Column:
-        return F.floor(c / cell).cast("long")
+    def at(c: str) -> Column:
+        return F.floor(F.col(c) / F.col("_step")).cast("long")
 
     boxes = (
-        polys.withColumn("_cx", F.explode(F.sequence(floor_to(F.col("xmin")), floor_to(F.col("xmax")))))
-        .withColumn("_cy", F.explode(F.sequence(floor_to(F.col("ymin")), floor_to(F.col("ymax")))))
+        polys.withColumn("_step", step)
+        .withColumn("_cx", F.explode(F.sequence(at("xmin"), at("xmax"))))
+        .withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .select("_cx", "_cy", "_s", *[F.col(c).alias(f"_{c}") for c in ("ring", "xmin", "xmax", "ymin", "ymax")])
     )
-    spread = [c for c in pts.columns]
     located = (
-        pts.withColumn("_px", floor_to(F.col(x)))
-        .withColumn("_py", floor_to(F.col(y)))
-        .withColumn("_ps", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+        pts.withColumn("_step", step)
+        .withColumn("_px", at(x))
+        .withColumn("_py", at(y))
+        .withColumn("_ps", F.pmod(F.xxhash64(*pts.columns), F.lit(salts)).cast("int"))
     )
     inside = (
         (F.col("_px") == F.col("_cx"))

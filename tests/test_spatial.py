@@ -18,7 +18,7 @@ def inside(x, y, ring):
     return odd
 
 
-@pytest.mark.parametrize("cell", [0.5, 3.0, 100.0])
+@pytest.mark.parametrize("cell", [None, 0.5, 3.0, 100.0])
 def test_membership_equals_plain_loop(spark, cell):
     rnd = random.Random(1)
     # Most of the points fall in one grid cell.
