@@ -68,6 +68,7 @@ def main() -> None:
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    sf = float(sf) if sf.replace(".", "", 1).isdigit() else sf
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()

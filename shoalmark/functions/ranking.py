@@ -96,13 +96,19 @@ def exact_quantiles(
 
     The definition is the one of ``percentile``: position ``p * (n - 1)`` among
     the ``n`` values in order.  Missing values are skipped; ``weight`` is a
-    whole-number frequency.  Columns: ``by..., prob, n, q``.
+    whole-number frequency, and a fractional one is an error.  Columns:
+    ``by..., prob, n, q``.
     """
+    times = F.lit(1)
+    if weight:
+        w = F.col(weight)
+        wrong = F.raise_error(F.lit(f"{weight} must hold whole numbers")).cast("long")
+        times = F.when(w != F.floor(w), wrong).otherwise(w.cast("long"))
     # Equal values collapse before they travel, so a repeated value costs one row.
     vals = (
         df.where(F.col(value).isNotNull())
         .groupBy(_group_key(by), F.col(value).cast("double").alias("_v"))
-        .agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+        .agg(F.sum(times).alias("_w"))
         .where("_w > 0")
     )
     rows = _with_bucket(vals, "_v", bucket_rows)

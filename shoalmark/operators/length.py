@@ -214,7 +214,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, weight: str | None =
     vals = (
         df.where(F.col(value).isNotNull())
         .groupBy(key.alias("_k"), F.col(value).cast("double").alias("_x"))
-        .agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("_f"))
+        .agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_f"))
         .where("_f > 0")
     )
     quartiles = exact_quantiles(vals, ["_k"], "_x", [0.25, 0.5, 0.75], "_f")
@@ -230,10 +230,10 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, weight: str | None =
         salted_join(vals, q, ["_k"], "inner")
         .groupBy("_k", "q1", "median", "q3")
         .agg(
-            F.sum("_f").alias("n"),
+            F.sum("_f").cast("long").alias("n"),
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
-            F.sum(F.when(~inside, F.col("_f")).otherwise(F.lit(0))).alias("outliers"),
+            F.sum(F.when(~inside, F.col("_f")).otherwise(F.lit(0))).cast("long").alias("outliers"),
         )
         .select(*[F.col("_k")[c].alias(c) for c in by], "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
     )

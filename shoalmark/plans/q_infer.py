@@ -10,6 +10,7 @@ from ..operators import catch as ct
 from ..operators import infer as nf
 from ..operators import index as ix
 from ..operators import length as ln
+from ..sources.lookups import recode
 from .oracle import r, smoothed, sql
 from .q_catch import tidy
 from .q_index import longline, trawl6, trawl9
@@ -266,7 +267,7 @@ def _(t):
     peeled = nf.retrospective_peels(longline(t), PEELS)
     fits = nf.smooth_index(peeled, 1996, 2002, by=["peel", "species"], value="cpue")
     names = {"AF": "AFRICA", "AM": "AMERICA", "AS": "ASIA", "EU": "EUROPE"}
-    ahead = nf.peel_projections(fits, 2, [1999]).withColumn("area", nf.recode("strata", names))
+    ahead = nf.peel_projections(fits, 2, [1999]).withColumn("area", recode("strata", names))
     out = nf.retrospective_abc(ahead, t.limits, ct.catch_by_area(tidy(t)))
     return out.select("peel", "species", "year", "area", "pred", "implied_abc", "abc", "catch")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import AlbersParams
 from ..functions.joins import lookup
 from ..operators import spatial as sp
+from ..sources.lookups import recode
 from ..sources.readers import with_bounds
 from .oracle import r, sql
 from .registry import query
@@ -102,7 +103,7 @@ GROUP BY year, lat, lon, CASE WHEN gear IN ('BUILDING', 'MACHINERY') THEN 'Fixed
 def _(t):
     codes = {"BUILDING": "POT", "MACHINERY": "LGL"}
     obs = t.obs_points.withColumn("species", F.when(F.col("id") % 5 != 0, "target").otherwise("other"))
-    return sp.gear_cell_catch(obs.withColumn("gear", sp.recode("gear", codes, F.col("gear"))), "target", 2023)
+    return sp.gear_cell_catch(obs.withColumn("gear", recode("gear", codes, F.col("gear"))), "target", 2023)
 
 
 def _albers_sql(lon: str, lat: str) -> tuple[str, str]:

@@ -105,3 +105,9 @@ def test_missing_keys_match_in_both_joins(spark):
     assert {(r.v, r.t) for r in salted_join(a, b, ["k", "y"], "inner").collect()} == {(1, "n"), (3, "m")}
     plan = null_safe_join(a, b, ["k", "y"], "left")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_fractional_frequencies_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.5)], "k string, v double, w double")
+    with pytest.raises(Exception, match="whole numbers"):
+        exact_quantiles(df, ["k"], "v", [0.5], "w").collect()
