@@ -8,7 +8,6 @@ from ..functions.ranking import exact_quantiles, grid_probs
 from ..functions.text import one_decimal
 from ..operators import catch as ct
 from ..operators import infer as nf
-from ..operators import index as ix
 from ..operators import length as ln
 from ..sources.lookups import recode
 from .oracle import r, smoothed, sql

@@ -269,7 +269,7 @@ def _(t):
     "length_by_depth_box",
     sql(
         box_sql("fish", "strat, survey, region", "length"),
-        fish=f"SELECT *, unnest(range(CAST(freq AS BIGINT))) FROM lengths WHERE freq > 0",
+        fish="SELECT *, unnest(range(CAST(freq AS BIGINT))) FROM lengths WHERE freq > 0",
         lengths=DEPTH_LENGTHS,
     ),
 )
