@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import DATA
+from shoalmark.plans import catalog
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -14,7 +15,7 @@ TABLES = (
 ).split()
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"]
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,10 @@ def test_every_query_but_the_random_one_has_sql():
     assert set(QUERIES) - set(ORACLE) == {"apportion_interval"}
 
 
+def test_contract_has_every_query():
+    assert QUERIES.items() <= contract.queries().items() and ORACLE.items() <= contract.oracle_sql().items()
+
+
 def test_entry_runs(spark):
     df = contract.entry(spark)
     assert df.columns[:2] == ["species", "year"] and df.count() > 0
