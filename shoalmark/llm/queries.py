@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts
+from . import chat_format, quality_rules, sharding, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,60 @@ FROM r
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return quality_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*names)
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(docs, shards=24, nodes=64, slack=0.0)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+t AS (
+  SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tok,
+    23 + length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|<?/?SYS>>)', '\1\\\2', 'g'))
+      + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|<?/?SYS>>)', '\1\\\2', 'g')) AS len,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ord FROM c
+),
+p AS (
+  SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    max(CASE WHEN ord = 0 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
+    max(CASE WHEN ord = 0 AND role = 'system' THEN len ELSE 0 END) OVER (PARTITION BY conv_id) AS syslen FROM t
+),
+b AS (
+  SELECT *, before - sys AS pos, greatest(1024 - 256 - sys, 1) AS room FROM p WHERE NOT (ord = 0 AND role = 'system')
+),
+w AS (
+  SELECT *, 2 * CAST(floor(pos / room) AS BIGINT) + CASE WHEN floor((pos + tok - 1) / room) > floor(pos / room) THEN 1 ELSE 0 END AS win FROM b
+),
+s AS (SELECT conv_id, win, min(pos) AS start, max(syslen) AS syslen FROM w GROUP BY ALL),
+h AS (
+  SELECT s.conv_id, sum(w.len) AS n FROM s JOIN w ON s.conv_id = w.conv_id AND w.pos >= s.start - 256 AND w.pos + w.tok <= s.start GROUP BY 1
+),
+f AS (
+  SELECT conv_id, sum(n) AS n FROM (
+    SELECT conv_id, n FROM h UNION ALL SELECT conv_id, len FROM w UNION ALL SELECT conv_id, syslen FROM s
+    UNION ALL SELECT conv_id, len FROM p WHERE ord = 0 AND role = 'system' AND conv_id NOT IN (SELECT conv_id FROM w)
+  ) GROUP BY 1
+),
+d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '') AS learned FROM p GROUP BY 1
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(f.n AS BIGINT) AS formatted_chars
+FROM d JOIN f USING (conv_id)
+"""
+
+
+@query("op8_chat_format", CHAT_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0, 'user', '{probe}'), (-1L, 1, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
+    return chat_format.read_back(chat_format.windows(chats.unionByName(extra), budget=1024, history=256))
