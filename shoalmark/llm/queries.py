@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding, token_counts
+from . import chat_format, quality_rules, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0, 'user', '{probe}'), (-1L, 1, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     return chat_format.read_back(chat_format.windows(chats.unionByName(extra), budget=1024, history=256))
+
+
+#: The 32 letters of a base32 SHA-1, each five bits of the hexadecimal digest ``h``.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    f"1 + ((CAST('0x' || substr(h, {5 * i // 4 + 1}, 2) AS INT) >> {3 - 5 * i % 4}) & 31), 1)"
+    for i in range(32)
+)
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS holder FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM m
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read(warc.write(pages), pages)
