@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding, token_counts, warc
+from . import chat_format, near_dedup, quality_rules, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,34 @@ FROM m
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.read(warc.write(pages), pages)
+
+
+#: Words of a text, A-Z lower-cased, and its set of five-word shingles.
+def shingle_ctes(name: str, source: str, key: str) -> str:
+    return rf"""
+{name}_w AS (
+  SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM {source}
+),
+{name}_s AS (
+  SELECT DISTINCT {key}, array_to_string(words[i : i + 4], ' ') AS s
+  FROM (SELECT {key}, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(words) > 0)
+),
+{name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY 1)"""
+
+
+NEAR_SQL = f"""
+WITH RECURSIVE {shingle_ctes("d", "documents", "doc_id")},
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM d_s x JOIN d_s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN d_n p ON p.doc_id = a JOIN d_n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.doc_id),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN d_n USING (doc_id)
+"""
+
+
+@query("op6_near_dedup", NEAR_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
