@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, near_dedup, quality_rules, sharding, token_counts, warc
+from . import chat_format, decontaminate, near_dedup, quality_rules, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,16 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 @query("op6_near_dedup", NEAR_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
+LEAK_SQL = f"""
+WITH {shingle_ctes("d", "documents", "doc_id")}, {shingle_ctes("i", "benchmark", "item_id")},
+found AS (SELECT doc_id, item_id, count(*) AS n_found FROM d_s JOIN i_s USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item, n_found, n_found / n AS containment FROM found JOIN i_n USING (item_id) WHERE 100 * n_found >= 75 * n
+"""
+
+
+@query("op10_decontaminate", LEAK_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), percent=75)
