@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_dedup, quality_rules, sharding, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, sharding, token_counts, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,8 @@ SELECT doc_id, item_id, n AS n_item, n_found, n_found / n AS containment FROM fo
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), percent=75)
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=2, min_chars=24)
