@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, sharding, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=2, min_chars=24)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
