@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dedup, quality_rules, sharding, token_counts, toxicity, warc
+from . import chat_format, decontaminate, line_dedup, near_dedup, piece_sampling, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+def piece_model() -> bytes:
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+@query("op5_piece_sampling")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), k=2, seed=7, digest=True)
