@@ -326,7 +326,7 @@ def _sampler(model: bytes, k: int, seed: int, alpha: float, key_type: pa.DataTyp
         cols = [pa.array(key, key_type), pa.array(number, pa.int32()), lists, *(pa.array(f, pa.float64()) for f in figures)]
         names = ["_key", "sample", "ids", "log_prob", "perturbed", "log_inclusion"]
         if with_digest:
-            table = _MODELS[name].bytes
+            table = _pieces(name, model, alpha).bytes
             cols.append(pa.array([zlib.crc32(decoded(f[2], table)) for f in found], pa.int64()))
             names.append("decoded_crc32")
         return pa.RecordBatch.from_arrays(cols, names)

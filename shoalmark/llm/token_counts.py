@@ -95,13 +95,18 @@ def empty_cache(spark: SparkSession) -> str:
     return path
 
 
+def _counter(key: str, serialised: str) -> Counter:
+    """The worker's counter, which outlives a task."""
+    if key not in _COUNTERS:
+        _COUNTERS[key] = Counter(serialised)
+    return _COUNTERS[key]
+
+
 def _encoder(key: str, serialised: str):
     apart = cuttable(serialised)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(serialised)
-        counter = _COUNTERS[key]
+        counter = _counter(key, serialised)
         count = counter.count if apart else counter.whole
         for batch in batches:
             texts = batch.column("_text")
