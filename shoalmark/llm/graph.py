@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import in_proportion, land
 
 MAX_ROUNDS = 60
+#: Edges of a task.
+EDGES = 50_000
 
 
 def _state(edges: DataFrame):
@@ -27,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = _state(edges)
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        before, edges = state, in_proportion(edges, EDGES)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import importable, land
+from .common import importable, in_proportion, land
 from .graph import components
 
 #: Registers of a sketch, registers of a band, and what the values are spaced by.
@@ -40,6 +40,8 @@ CHUNK, CHUNK_TEXTS = 400_000, 2_000
 MARGIN = 0.14
 #: Members of a block in the comparison of what the pivots left.
 BLOCK = 1024
+#: Bucket members of a task.
+MEMBERS = 100_000
 #: Pairs of registers that are compared at once.
 PAIRS_AT_ONCE = 50_000
 SKETCH = "_row binary, node binary, n long, bands array<long>"
@@ -273,7 +275,7 @@ def _crowded(corpus: _Corpus) -> DataFrame:
     """``band, value, node, n`` of buckets with two members at least."""
     members = corpus.classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     sizes = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return land(members.join(sizes, ["band", "value"]))
+    return in_proportion(land(members.join(sizes, ["band", "value"])), MEMBERS)
 
 
 def _with_pivots(crowded: DataFrame, percent: int) -> DataFrame:
