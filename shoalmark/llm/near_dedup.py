@@ -103,7 +103,7 @@ def _sketches(width: int):
 
         def flush(rows, nodes, sets):
             filled = [i for i, s in enumerate(sets) if len(s)]
-            bands = sketch([sets[i] for i in filled]).astype("<u2").reshape(len(filled), -1).view("<i8")
+            bands = sketch([sets[i] for i in filled]).astype("<u2").view("<i8").reshape(len(filled), REGISTERS // BAND)
             values = np.full((len(sets), bands.shape[1] if filled else 0), 0, np.int64)
             if filled:
                 values[filled] = bands
