@@ -53,7 +53,7 @@ def albers_xy(lon: str | Column, lat: str | Column, p: AlbersParams = AlbersPara
 
 
 def in_ring(x: str | Column, y: str | Column, ring: str | Column) -> Column:
-    """Even-odd test of a point against a ring of ``struct<x, y>`` vertices.
+    """Even-odd test of a point against a ring of ``struct<x, y>`` vertices; points on an edge or vertex are inside.
 
     The ring need not repeat its first vertex at the end.
     """
@@ -69,7 +69,12 @@ def in_ring(x: str | Column, y: str | Column, ring: str | Column) -> Column:
         at = (e.bx - e.ax) * F.try_divide(y - e.ay, e.by - e.ay) + e.ax
         return spans & (x < at)
 
-    return F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    def touches(e: Column) -> Column:
+        straight = (e.bx - e.ax) * (y - e.ay) == (e.by - e.ay) * (x - e.ax)
+        return straight & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
+
+    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return odd | F.exists(edges, lambda e: F.coalesce(touches(e), F.lit(False)))
 
 
 def square_ring(x: str | Column, y: str | Column, half: float) -> Column:

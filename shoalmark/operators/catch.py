@@ -168,6 +168,7 @@ INTERVAL_SIZE B_MSY B_MSY_BASIS
 TIME_SERIES_ESTIMATES FISHERYYEAR AGE RECRUITMENT SPAWNBIOMASS TOTALBIOMASS TOTFSHRYMORT TOTALCATCH SURVEYDESC
 STOCKNOTES SURVEY_ESTIMATES
 """.split()
+REPORT_HEADS = ("FISHING_MORTALITY_ESTIMATES", "BIOMASS_ESTIMATES", "TIME_SERIES_ESTIMATES")
 
 
 def status_report(
@@ -184,7 +185,9 @@ def status_report(
     ``catch(year, catch)`` are yearly series; ``limits(year, hl, total)`` holds
     the harvest limits; ``static`` gives the text of descriptive tags.  Every
     number is a scalar subquery on an aggregate, so nothing is collected.  A tag
-    whose value is not known reads ``NA``.
+    whose value is not known reads ``NA``; a section head has no value.  A series
+    with more than one row for a year is an error, so what is gathered is bounded
+    by the number of years.
     """
 
     def digits(c: str) -> Column:
@@ -198,9 +201,18 @@ def status_report(
         pairs = F.array_sort(F.collect_list(F.struct("year", digits(c).alias("v"))))
         return F.array_join(F.transform(pairs, lambda p: p.v), " ", "NA")
 
+    def yearly(df: DataFrame, c: str) -> DataFrame:
+        """One row per year; a second one is an error."""
+        one = F.when(F.count(F.lit(1)) == 1, F.first(c)).otherwise(F.raise_error(F.lit(f"{c}: more than one row for a year")).cast(df.schema[c].dataType))
+        return df.groupBy("year").agg(one.alias(c))
+
+    biomass, survey, catch = yearly(biomass, "biomass"), yearly(survey, "survey_biomass"), yearly(catch, "catch")
+
     unknown = set(static or {}) - set(REPORT_TAGS)
     if unknown:
         raise ValueError(f"not tags of the report: {sorted(unknown)}")
+    if set(static or {}) & set(REPORT_HEADS):
+        raise ValueError("a section head takes no value")
     # One pass and one row per source; the other sources' rows are attached as scalar subqueries.
     of_catch = F.struct(F.max(F.when(F.col("year") == year - 1, digits("catch"))).alias("last"), series("catch").alias("all"))
     ofl = F.max(F.when((F.col("year") == year) & (F.col("hl") == "OFL"), digits("total")))
@@ -235,7 +247,7 @@ def status_report(
             F.struct(
                 F.lit(i).alias("ord"),
                 F.lit(tag).alias("tag"),
-                F.coalesce(known[tag], F.lit("NA")).alias("value") if tag in known else F.lit("NA").alias("value"),
+                (F.lit(None).cast("string") if tag in REPORT_HEADS else F.coalesce(known.get(tag, F.lit(None)), F.lit("NA"))).alias("value"),
             )
             for i, tag in enumerate(REPORT_TAGS, 1)
         ]

@@ -29,11 +29,12 @@ def area_of(strata: str | Column, areas: Sequence[str], other: str) -> Column:
 def select_models(df: DataFrame, models: Sequence[str], model_col: str = "model_name") -> DataFrame:
     """Rows of the requested models.  Fails when one of them is absent instead of returning fewer rows."""
     kept = df.where(F.col(model_col).isin(list(models)))
-    found = kept.agg(F.count_distinct(model_col)).scalar()
-    complete = F.when(found == len(set(models)), F.lit(True)).otherwise(
+    # An aggregate has its row whether or not anything is kept, so the check is always made; it adds no row.
+    absent = F.when(F.count_distinct(model_col) == len(set(models)), F.lit(False)).otherwise(
         F.raise_error(F.lit(f"not every requested model is present: {sorted(models)}")).cast("boolean")
     )
-    return kept.where(complete)
+    check = kept.agg(absent.alias("_absent")).where("_absent")
+    return kept.unionByName(check.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema.fields]))
 
 
 def extra_cv(fits: dict[str, DataFrame]) -> DataFrame:

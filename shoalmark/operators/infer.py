@@ -369,68 +369,6 @@ def impute_stratum_ratio(
     return out.withColumn("biomass", filled).select(*df.columns)
 
 
-def log_moments(df: DataFrame, areas: Sequence[str], year: int) -> DataFrame:
-    """One row: ``mu`` (log prediction per area in ``year``) and ``low``, the lower Cholesky factor of the
-    covariance of the areas' log predictions over all years."""
-    areas, n = list(areas), len(areas)
-    wide = df.groupBy("year").pivot("strata", areas).agg(F.max(F.ln("pred")))
-    at_year = [F.max(F.when(F.col("year") == year, F.col(f"`{a}`"))).alias(f"m{i}") for i, a in enumerate(areas)]
-    cov = [
-        F.covar_samp(f"`{areas[i]}`", f"`{areas[j]}`").alias(f"c{i}_{j}") for i in range(n) for j in range(i + 1)
-    ]
-    out = wide.agg(*at_year, *cov)
-    for i in range(n):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            # Rounding can leave a tiny negative remainder where two areas move together.
-            entry = F.sqrt(F.greatest(rest, F.lit(0.0))) if i == j else F.coalesce(ratio(rest, f"l{j}_{j}"), F.lit(0.0))
-            out = out.withColumn(f"l{i}_{j}", entry)
-    return out.select(
-        F.struct(
-            *[F.col(f"m{i}") for i in range(n)], *[F.col(f"l{i}_{j}") for i in range(n) for j in range(i + 1)]
-        ).alias("params")
-    )
-
-
-def apportion_interval(draws: DataFrame, moments: DataFrame, areas: Sequence[str], seed: int = 1) -> DataFrame:
-    """Median and 95 % interval of area proportions under correlated lognormal biomass.
-
-    ``draws`` supplies one row per Monte Carlo draw (for example
-    ``spark.range(n)``); its rows are only counted.  ``moments`` is the one row
-    of ``log_moments``.  Random: results vary with seed and partitioning.
-    """
-    areas, n = list(areas), len(areas)
-    z = draws.select(*[F.randn(seed + i).alias(f"_z{i}") for i in range(n)])
-    z = z.withColumn("_p", moments.select("params").scalar())
-
-    def log_biomass(i: int) -> Column:
-        out = F.col("_p")[f"m{i}"]
-        for j in range(i + 1):
-            out = out + F.col("_p")[f"l{i}_{j}"] * F.col(f"_z{j}")
-        return out
-
-    real = z.select(*[F.exp(log_biomass(i)).alias(f"_b{i}") for i in range(n)])
-    total = sum((F.col(f"_b{i}") for i in range(n)), F.lit(0.0))
-    shares = real.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("area"), (F.col(f"_b{i}") / total).alias("share"))
-                    for i, a in enumerate(areas)
-                ]
-            )
-        )
-    )
-    q = exact_quantiles(shares, ["area"], "share", [0.025, 0.5, 0.975])
-
-    def at(p: float) -> Column:
-        return F.max(F.when(F.col("prob") == p, F.col("q")))
-
-    return q.groupBy("area").agg(at(0.5).alias("median"), at(0.025).alias("lower"), at(0.975).alias("upper"))
-
-
 def fixed_extra_cv(df: DataFrame, extra: float = 0.2) -> DataFrame:
     """Total log SD and CV with a fixed extra CV, and the bounds that follow from them."""
     sd = F.when(F.col("obs") > 0, F.sqrt(F.ln(F.pow("obs_cv", F.lit(2)) + extra * extra + 1)))

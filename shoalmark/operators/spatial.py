@@ -123,6 +123,8 @@ def points_in_strata(
         .withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .select("_cx", "_cy", "_s", *[F.col(c).alias(f"_{c}") for c in ("ring", "xmin", "xmax", "ymin", "ymax")])
+        # However few the polygons, what they are exploded to has no bound: never broadcast.
+        .hint("merge")
     )
     located = (
         pts.withColumn("_step", step)

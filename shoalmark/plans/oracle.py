@@ -61,7 +61,7 @@ VIEWS["hauls"] = """
 SELECT o_orderkey AS haul, o_totalprice/400 AS depth, o_orderpriority AS geo, o_orderstatus AS performance FROM orders"""
 
 VIEWS["haul_catch"] = """
-SELECT l_orderkey AS haul, l_quantity AS weight_kg, l_linenumber AS cnt FROM lineitem WHERE l_returnflag = 'A'"""
+SELECT l_orderkey AS haul, l_quantity AS weight_kg, l_linenumber AS cnt FROM lineitem"""
 
 VIEWS["hook_sets"] = """
 SELECT year(l_shipdate) AS year, l_returnflag AS region, l_extendedprice/90 AS depth, l_linenumber AS ineffective,
@@ -94,7 +94,7 @@ VIEWS["true_values"] = "SELECT event_type AS parameter, avg(value) AS model FROM
 
 VIEWS["draws"] = """
 SELECT event_type AS sampler, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw_id,
-  CASE WHEN value > 0 THEN ln(value) END AS V1, value/100 AS V2 FROM events WHERE event_type IN ('click', 'view')"""
+  CASE WHEN value > 0 THEN ln(value) END AS V1, value/100 AS V2 FROM events"""
 
 VIEWS["survey_filled"] = """
 SELECT species, year, area_id, biomass_mt, n_haul,

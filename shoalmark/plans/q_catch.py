@@ -91,10 +91,10 @@ def _(t):
     "limit_vs_actual",
     sql(
         f"""SELECT l.year, l.area, {r('l.abc', 'abc', 7)}, {r('l.ofl', 'ofl', 7)}, c.retention, {r('c.catch', 'catch', 7)}
-FROM limits l LEFT JOIN (SELECT * FROM area_catch WHERE area <> 'ASIA') c USING (year, area)"""
+FROM limits l LEFT JOIN area_catch c USING (year, area)"""
     ), digits=7)
 def _(t):
-    actual = ct.catch_by_area(tidy(t)).where(F.col("area") != "ASIA")
+    actual = ct.catch_by_area(tidy(t))
     return t.limits.join(actual, ["year", "area"], "left")
 
 
@@ -137,8 +137,19 @@ def _values(col, view):
     return f"(SELECT string_agg(CAST(CAST({col} AS BIGINT) AS VARCHAR), ' ' ORDER BY year) FROM {view})"
 
 
+# The tags of the report format in its order, written out apart from the operator's.
+TAGS_IN_ORDER = " ".join("""
+STOCK STOCK_NAME REGION ASMT_TYPE ASMT_YEAR ASMT_MONTH TIER NUM_SEXES NUM_FISHERIES REC_MULT RECAGE COMPLEX
+LAST_DATA_YEAR ASMT_MODEL_CATEGORY ASMT_MODEL MODEL_VERSION ENSEMBLE LEAD_LAB POC_EMAIL REVIEW_RESULT
+CATCH_INPUT_DATA ABUNDANCE_INPUT_DATA BIOLOGICAL_INPUT_DATA SIZEAGE_COMP_INPUT_DATA ECOSYSTEM_LINKAGE
+FISHING_MORTALITY_ESTIMATES F_YEAR F_BASIS F_UNIT BEST_F_ESTIMATE F_LIMIT F_LIMIT_BASIS F_MSY F_MSY_BASIS
+BIOMASS_ESTIMATES B_YEAR B_BASIS B_UNIT BEST_B_ESTIMATE LOWER_B_ESTIMATE UPPER_B_ESTIMATE ESTIMATE_METHOD
+INTERVAL_SIZE B_MSY B_MSY_BASIS
+TIME_SERIES_ESTIMATES FISHERYYEAR AGE RECRUITMENT SPAWNBIOMASS TOTALBIOMASS TOTFSHRYMORT TOTALCATCH SURVEYDESC
+STOCKNOTES SURVEY_ESTIMATES
+""".split())
 REPORT = f"""
-SELECT ord, tag, coalesce(CASE tag
+SELECT ord, tag, CASE WHEN tag IN ('FISHING_MORTALITY_ESTIMATES', 'BIOMASS_ESTIMATES', 'TIME_SERIES_ESTIMATES') THEN NULL ELSE coalesce(CASE tag
   WHEN 'STOCK' THEN 'AB1' WHEN 'STOCK_NAME' THEN 'STAND-IN STOCK' WHEN 'REGION' THEN 'ALL' WHEN 'TIER' THEN '5'
   WHEN 'ASMT_YEAR' THEN '1998' WHEN 'F_YEAR' THEN '1997'
   WHEN 'LAST_DATA_YEAR' THEN (SELECT CAST(max(year) AS VARCHAR) FROM rep_biomass)
@@ -150,8 +161,8 @@ SELECT ord, tag, coalesce(CASE tag
   WHEN 'FISHERYYEAR' THEN {_values('year', 'rep_biomass')}
   WHEN 'TOTALBIOMASS' THEN {_values('biomass', 'rep_biomass')}
   WHEN 'TOTALCATCH' THEN {_values('catch', 'rep_catch')}
-  WHEN 'SURVEY_ESTIMATES' THEN {_values('survey_biomass', 'rep_survey')} END, 'NA') AS value
-FROM (SELECT unnest({ct.REPORT_TAGS!r}) AS tag, unnest(range(1, {len(ct.REPORT_TAGS) + 1})) AS ord)"""
+  WHEN 'SURVEY_ESTIMATES' THEN {_values('survey_biomass', 'rep_survey')} END, 'NA') END AS value
+FROM (SELECT unnest(string_split('{TAGS_IN_ORDER}', ' ')) AS tag, unnest(range(1, {TAGS_IN_ORDER.count(' ') + 2})) AS ord)"""
 REPORT_VIEWS = {"rep_biomass": BIOMASS, "rep_survey": SURVEY, "rep_catch": YEARLY}
 
 

@@ -95,12 +95,12 @@ def _(t):
     sql(
         f"""SELECT model_name, year, {r('n.pred', 'pred_new')}, {r('o.pred', 'pred_old')},
   {r('(n.pred - o.pred) / nullif(o.pred, 0) * 100', 'pct_change')}
-FROM fit_total n JOIN (SELECT model_name, year, sum(pred_lci) AS pred FROM fit_by_strata WHERE area <> 'WA' GROUP BY ALL) o
+FROM fit_total n JOIN (SELECT model_name, year, sum(pred_lci) AS pred FROM fit_by_strata GROUP BY ALL) o
   USING (model_name, year) WHERE year < 2000"""
     ),
 )
 def _(t):
-    old = t.fit_by_strata.where(F.col("area") != "WA").groupBy("model_name", "year").agg(F.sum("pred_lci").alias("pred"))
+    old = t.fit_by_strata.groupBy("model_name", "year").agg(F.sum("pred_lci").alias("pred"))
     return cp.previous_assessment_change(cp.total_prediction(t.fit_by_strata), old, 2000, ["model_name"])
 
 

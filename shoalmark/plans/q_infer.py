@@ -289,14 +289,6 @@ def _(t):
     return nf.impute_stratum_ratio(trawl9(t), pairs, SP)
 
 
-@query("apportion_interval")
-def _(t):
-    # One draw per lineitem row; the three areas' moments come from the fits of all models.
-    areas = ["WA", "CA", "EA"]
-    by_area = t.fit_by_strata.groupBy("year", F.col("area").alias("strata")).agg(F.sum("pred").alias("pred"))
-    return nf.apportion_interval(t.base("lineitem"), nf.log_moments(by_area, areas, 2000), areas)
-
-
 @query(
     "fixed_extra_cv",
     sql(

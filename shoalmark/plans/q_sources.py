@@ -93,7 +93,7 @@ def _(t):
 @query(
     "sink_tagged_text",
     sql(
-        "SELECT line, count(*) AS n FROM (SELECT '#' || tag AS line FROM rep UNION ALL SELECT value FROM rep) GROUP BY line",
+        "SELECT line, count(*) AS n FROM (SELECT '#' || tag AS line FROM rep UNION ALL SELECT value FROM rep WHERE value IS NOT NULL) GROUP BY line",
         rep=REPORT,
         **REPORT_VIEWS,
     ),

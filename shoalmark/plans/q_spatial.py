@@ -162,7 +162,9 @@ EDGES = "SELECT * FROM (VALUES " + ", ".join(
 INSIDE = """SELECT * FROM obs_points p WHERE EXISTS (
   SELECT 1 FROM edges e WHERE (e.ay > p.lat) <> (e.by_ > p.lat)
     AND p.lon < (e.bx - e.ax) * ((p.lat - e.ay) / nullif(e.by_ - e.ay, 0)) + e.ax
-  GROUP BY poly_id HAVING count(*) % 2 = 1)"""
+  GROUP BY poly_id HAVING count(*) % 2 = 1)
+OR EXISTS (SELECT 1 FROM edges e WHERE sqrt(power(p.lon - e.ax, 2) + power(p.lat - e.ay, 2))
+  + sqrt(power(p.lon - e.bx, 2) + power(p.lat - e.by_, 2)) <= sqrt(power(e.bx - e.ax, 2) + power(e.by_ - e.ay, 2)) * (1 + 1e-15))"""
 
 
 def polygons(t):

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import positions
 from ..sources.lookups import StrataScheme
-from ..sources.writers import land
 
 # The stand-in stratification over part sizes.
 S9 = StrataScheme(
@@ -221,7 +220,6 @@ class Tables:
     def haul_catch(self) -> DataFrame:
         return (
             self.base("lineitem")
-            .where(F.col("l_returnflag") == "A")
             .select(
                 F.col("l_orderkey").alias("haul"),
                 F.col("l_quantity").alias("weight_kg"),
@@ -292,13 +290,8 @@ class Tables:
 
     @cached_property
     def draws(self) -> DataFrame:
-        """Numbered draws of two samplers.  They are landed once, as sampler output is a stored table."""
-        ev = (
-            self.base("events")
-            .where(F.col("event_type").isin("click", "view"))
-            .select(F.col("event_type").alias("sampler"), "event_id", "value")
-        )
-        numbered = positions(ev, ["sampler"], "event_id").select(
+        """Numbered draws, one sampler per event type."""
+        ev = self.base("events").select(F.col("event_type").alias("sampler"), "event_id", "value")
+        return positions(ev, ["sampler"], "event_id").select(
             "sampler", F.col("before").alias("draw_id"), F.when(F.col("value") > 0, F.ln("value")).alias("V1"), (F.col("value") / 100).alias("V2")
         )
-        return land(numbered)

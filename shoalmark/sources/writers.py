@@ -54,16 +54,17 @@ def sink_csv_keyed(df: DataFrame, path: str, key: str = "year", mode: str = "ove
 
 
 def tagged_lines(df: DataFrame) -> DataFrame:
-    """``(ord, tag, value)`` rows to report lines: a ``#TAG`` line, then the value line."""
-    return df.select(
+    """``(ord, tag, value)`` rows to report lines: a ``#TAG`` line, then the value line if there is a value."""
+    lines = df.select(
         "ord",
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("part"), F.concat(F.lit("#"), F.col("tag")).alias("value")),
-                F.struct(F.lit(1).alias("part"), F.coalesce("value", F.lit("NA")).alias("value")),
+                F.struct(F.lit(1).alias("part"), F.col("value").alias("value")),
             )
         ).alias("line"),
-    ).select("ord", "line.part", "line.value")
+    )
+    return lines.select("ord", "line.part", "line.value").where("value is not null")
 
 
 def sink_tagged_text(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -103,8 +103,15 @@ def test_status_report_values(spark):
     assert got["SPAWNBIOMASS"] == "NA"
 
 
+def test_status_report_refuses_two_rows_for_a_year(spark):
+    twice = spark.createDataFrame([(2023, 1.0), (2023, 2.0)], "year int, biomass double")
+    other = spark.createDataFrame([], "year int, survey_biomass double, catch double, hl string, total double")
+    with pytest.raises(Exception, match="more than one row"):
+        ct.status_report(twice, other, other, other, 2024).collect()
+
+
 def test_status_report_refuses_unknown_tags(spark):
-    empty = spark.createDataFrame([], "year int, biomass double")
+    empty = spark.createDataFrame([], "year int, biomass double, survey_biomass double, catch double")
     with pytest.raises(ValueError):
         ct.status_report(empty, empty, empty, empty, 2024, {"STCK": "x"})
 
@@ -114,4 +121,5 @@ def test_tagged_text_keeps_order(spark, tmp_path):
 
     path = wr.sink_tagged_text(report(spark), str(tmp_path / "r"))
     lines = [ln.rstrip("\n") for f in sorted(glob.glob(f"{path}/part-*")) for ln in open(f)]
-    assert lines[:4] == ["#STOCK", "AB1", "#STOCK_NAME", "NA"] and len(lines) == 2 * len(ct.REPORT_TAGS)
+    assert lines[:4] == ["#STOCK", "AB1", "#STOCK_NAME", "NA"] and len(lines) == 2 * len(ct.REPORT_TAGS) - 3
+    assert lines[lines.index("#BIOMASS_ESTIMATES") + 1] == "#B_YEAR"

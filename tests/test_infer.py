@@ -159,29 +159,6 @@ def test_qq_and_summary(spark, draws):
     assert got.rhat == pytest.approx(want)
 
 
-def test_apportion_interval_brackets_the_point(spark):
-    rng = np.random.default_rng(4)
-    rows = [(a, 2000 + i, float(m * np.exp(rng.normal(0, 0.1)))) for a, m in (("W", 1.0), ("C", 2.0), ("E", 1.0)) for i in range(20)]
-    by_area = spark.createDataFrame(rows, "strata string, year int, pred double")
-    out = nf.apportion_interval(spark.range(20000), nf.log_moments(by_area, ["W", "C", "E"], 2019), ["W", "C", "E"]).toPandas()
-    out = out.set_index("area")
-    assert (out.lower < out["median"]).all() and (out["median"] < out.upper).all()
-    at = by_area.where("year = 2019").toPandas().set_index("strata").pred
-    assert out["median"].to_dict() == pytest.approx((at / at.sum()).to_dict(), abs=0.01)
-
-
-def test_moments_are_the_cholesky_factor(spark):
-    rng = np.random.default_rng(8)
-    z = rng.normal(size=(30, 3)) @ np.array([[1, 0.5, 0.2], [0, 1, 0.3], [0, 0, 1]])
-    df = spark.createDataFrame([(s, i, float(np.exp(z[i, j]))) for j, s in enumerate("abc") for i in range(30)], "strata string, year int, pred double")
-    p = nf.log_moments(df, list("abc"), 7).collect()[0].params
-    low = np.linalg.cholesky(np.cov(z.T))
-    for i in range(3):
-        assert p[f"m{i}"] == pytest.approx(z[7, i])
-        for j in range(i + 1):
-            assert p[f"l{i}_{j}"] == pytest.approx(low[i, j])
-
-
 def test_ratio_imputation(spark):
     df = spark.createDataFrame(
         [(1, "s", 10.0), (1, "m", 5.0), (2, "s", 20.0), (2, "m", None), (3, "s", None), (3, "m", None), (4, "s", 10.0), (4, "m", 1.0)],
