@@ -32,6 +32,8 @@ WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5)
 #: Distinct words, and distinct vectors, a task remembers.
 REMEMBERED = 200_000
+#: Blocks that are looked into together.
+AT_ONCE = 16
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Settings:
     """``examples`` labelled rows of each label at most are learnt from, those of smallest hash; ``terms`` make the vocabulary."""
 
     examples: int = 5000
-    terms: int = 512
+    terms: int = 128
     least_chi2: float = 25.0
     neighbours: int = 15
     block: int = 64
@@ -98,21 +100,25 @@ class Index:
         """The ``k`` most similar examples that share a term, and their similarities; earlier blocks win ties."""
         if not len(ids) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bound = weights @ self.most[ids]
         who, score = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(score) == k and bound[b] <= score[-1]:
+        bound = weights @ self.most[ids]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        while len(order):
+            some = order[:AT_ONCE]
+            if len(score) == k and bound[some[0]] <= score[-1]:
                 break
-            here = np.zeros(self.block)
-            for t, w in zip(ids.tolist(), weights.tolist()):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                here[self.owner[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            if without // self.block == b:
-                here[without % self.block] = 0.0
-            some = np.nonzero(here)[0]
-            who, score = np.concatenate((who, some + b * self.block)), np.concatenate((score, here[some]))
+            # All postings of the query's terms in these blocks, one after the other.
+            slot = (ids[:, None] * self.blocks + some).ravel()
+            lo, n = self.start[slot], self.start[slot + 1] - self.start[slot]
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found, place = np.unique(self.owner[at], return_inverse=True)
+            value = np.bincount(place, self.weight[at] * np.repeat(np.repeat(weights, len(some)), n))
+            if without >= 0:
+                found, value = found[found != without], value[found != without]
+            who, score = np.concatenate((who, found)), np.concatenate((score, value))
             best = np.argsort(-score, kind="stable")[:k]
-            who, score = who[best], score[best]
+            who, score, order = who[best], score[best], order[AT_ONCE:]
         return who, score
 
 
