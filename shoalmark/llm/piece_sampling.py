@@ -37,7 +37,7 @@ from .common import importable
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts that are worked on together; memory is about 200 bytes for each, or for the longest text.
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 _U = np.uint64
 _STEP = _U(0x100000001B3)
 _MODELS: dict[str, Pieces] = {}
