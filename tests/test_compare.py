@@ -119,3 +119,13 @@ def test_extra_cv_and_prediction_table(fits):
     assert r.tot_cv == pytest.approx((2.718281828459045 ** (0.09) - 1) ** 0.5) and r.delta_cv == pytest.approx(r.tot_cv - 0.2)
     wide = cp.prediction_table(fits, cp.total_prediction(fits), ["M1", "M2"])
     assert wide.columns == ["strata", "year", "M1", "M2"] and wide.count() == 5 * 3
+
+
+@pytest.mark.parametrize("wanted", [["a"], ["a", "z"], ["z"]])
+def test_every_requested_model_must_be_there(spark, wanted):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model_name string, pred double")
+    if wanted == ["a"]:
+        assert [tuple(r) for r in cp.select_models(df, wanted).collect()] == [("a", 1.0)]
+    else:
+        with pytest.raises(Exception, match="not every requested model"):
+            cp.select_models(df, wanted).collect()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shoalmark.functions import geo
 from shoalmark.operators import spatial as sp
 from shoalmark.sources.readers import with_bounds
 
@@ -90,3 +91,12 @@ def test_observer_cells(spark):
         "year int, lat double, lon double, gear string, species string, kg double",
     )
     assert {(r.gear, r.weight) for r in sp.gear_cell_catch(obs, "t").collect()} == {("Fixed", 1.0), ("Trawl", 0.001)}
+
+
+def test_points_on_edges_and_corners_are_inside(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in square])
+    on = [(1.0, 0.5), (0.5, 1.0), (1.0, 1.0), (0.0, 0.5), (0.5, 0.0), (0.0, 0.0), (0.5, 0.5)]
+    off = [(1.0000001, 0.5), (2.0, 1.0), (0.5, -0.1)]
+    pts = spark.createDataFrame([(x, y, True) for x, y in on] + [(x, y, False) for x, y in off], "x double, y double, inside boolean")
+    assert all(r.inside == r.got for r in pts.withColumn("got", geo.in_ring("x", "y", ring)).collect())
