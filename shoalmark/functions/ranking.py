@@ -17,7 +17,7 @@ from .joins import salted_join
 
 #: Rows a bucket should hold.  Groups below this size stay whole.
 BUCKET_ROWS = 65_536
-#: Sampled values per bucket, and the most sampled values a group may have.
+#: Sampled values per bucket, and the most sampled values that are cut in one step.
 PER_BUCKET = 8
 MAX_SAMPLE = 16_384
 
@@ -27,42 +27,52 @@ def _group_key(by: Sequence[str]) -> Column:
     return (F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))).alias("_g")
 
 
-def _rank_in(cuts: Column, v: Column) -> Column:
-    """Number of sorted ``cuts`` below ``v`` by binary search; 0 without cuts."""
-    widths = [1 << i for i in reversed(range((MAX_SAMPLE // PER_BUCKET).bit_length()))]
-    steps = F.expr(f"array({', '.join(map(str, widths))})")
+def _rank_in(cuts: Column, v: Column, bits: int) -> Column:
+    """Number of sorted ``cuts`` (fewer than ``2 ** bits``) below ``v`` by binary search; 0 without cuts."""
+    steps = F.expr(f"array({', '.join(str(1 << i) for i in reversed(range(bits)))})")
 
     def step(at: Column, width: Column) -> Column:
         return F.when(F.coalesce(F.get(cuts, at + width - 1) < v, F.lit(False)), at + width).otherwise(at)
 
     # Never null, and known to be: a join on it then needs no second evaluation to test for null.
-    return F.coalesce(F.aggregate(steps, F.lit(0), step), F.lit(0))
+    return F.coalesce(F.when(cuts.isNotNull(), F.aggregate(steps, F.lit(0), step)), F.lit(0))
+
+
+def _cuts(sample: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Every ``PER_BUCKET``-th of a key's sampled values, in order."""
+    ordered = sample.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_all"))
+    return ordered.select(*keys, F.filter("_all", lambda _, i: i % PER_BUCKET == PER_BUCKET - 1).alias("_cuts"))
 
 
 def _with_bucket(vals: DataFrame, value: str, bucket_rows: int) -> DataFrame:
     """Attach an order-preserving bucket number, about equally filled per group.
 
-    The cut points are taken from the values whose hash falls on a fixed
-    lattice; the lattice is coarser for larger groups, so a group never has
-    more than about ``MAX_SAMPLE`` of them.  They depend on nothing but the
-    data: a recomputed task, or a second evaluation of the plan, finds the same
-    buckets.  They decide only how evenly the work is spread - any cut points
-    give exact results.
+    The cut points are the values whose hash falls on a fixed lattice.  A group
+    with more than ``MAX_SAMPLE`` of them is cut in two steps: by a coarser
+    lattice first, and each part again by its own points of the fine one, so
+    the number of buckets follows the number of values while no list of cut
+    points holds them all.  They depend on nothing but the data: a recomputed
+    task, or a second evaluation of the plan, finds the same buckets.  They
+    decide only how evenly the work is spread - any cut points give exact
+    results.
     """
     base = max(1, bucket_rows // PER_BUCKET)
+    bits = (MAX_SAMPLE // PER_BUCKET).bit_length() + 1
     h = F.xxhash64(value)
     candidates = vals.select("_g", value).where(F.pmod(h, F.lit(base)) == 0)
     found = candidates.groupBy("_g").agg(F.count(F.lit(1)).alias("_found"))
+    counted = salted_join(candidates, found, ["_g"], "inner")
     coarser = F.ceil(F.col("_found") / MAX_SAMPLE) * base
-    cuts = (
-        salted_join(candidates, found, ["_g"], "inner")
-        .where(F.pmod(h, coarser) == 0)
-        .groupBy("_g")
-        .agg(F.array_sort(F.collect_list(value)).alias("_all"))
-        .select("_g", F.filter("_all", lambda _, i: i % PER_BUCKET == PER_BUCKET - 1).alias("_cuts"))
-    )
-    rows = salted_join(vals, cuts, ["_g"], "left")
-    return rows.withColumn("_bucket", _rank_in(F.col("_cuts"), F.col(value))).drop("_cuts")
+    top = _cuts(counted.where(F.pmod(h, coarser) == 0), ["_g"], value)
+
+    def parted(df: DataFrame) -> DataFrame:
+        return salted_join(df, top, ["_g"], "left").withColumn("_part", _rank_in(F.col("_cuts"), F.col(value), bits)).drop("_cuts")
+
+    # A part holds as many points as the coarser lattice skips, so their number is that of the group over MAX_SAMPLE.
+    fine = _cuts(parted(counted.where(F.col("_found") > MAX_SAMPLE).drop("_found")), ["_g", "_part"], value)
+    rows = salted_join(parted(vals), fine, ["_g", "_part"], "left")
+    inner = _rank_in(F.col("_cuts"), F.col(value), 2 * bits).cast("long")
+    return rows.withColumn("_bucket", F.col("_part").cast("long") * F.lit(1 << 32) + inner).drop("_cuts", "_part")
 
 
 def positions(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoalmark.functions import ranking
 from shoalmark.functions.joins import lookup, salted_join
 from shoalmark.functions.ranking import exact_quantiles, grid_probs, positions
 
@@ -111,3 +112,11 @@ def test_fractional_frequencies_are_refused(spark):
     df = spark.createDataFrame([("a", 1.0, 0.5)], "k string, v double, w double")
     with pytest.raises(Exception, match="whole numbers"):
         exact_quantiles(df, ["k"], "v", [0.5], "w").collect()
+
+
+def test_buckets_follow_the_number_of_values(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_SAMPLE", 64)
+    for rows in (2_000, 8_000, 32_000):
+        vals = spark.range(rows).select(F.struct(F.lit(0).alias("_all")).alias("_g"), (F.col("id") * 1.5).alias("_v"))
+        sizes = [r["count"] for r in ranking._with_bucket(vals, "_v", 64).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == rows and max(sizes) < 4 * 64 and len(sizes) > rows / 128
