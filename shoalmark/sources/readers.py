@@ -66,12 +66,13 @@ def scan_landed_csv(spark: SparkSession, path: str) -> DataFrame:
     """Observer catch as landed: header case varies between releases, ``lat400sqkm`` is the cell latitude.
 
     Reads by name, not by position, so only the header line is inspected to
-    learn the order of the columns.
+    learn the order of the columns.  A file with another header is an error: its
+    values would land in the wrong columns.
     """
     header = spark.read.csv(path, header=True, enforceSchema=False).columns
     types = dict(part.strip().split(" ") for part in schema("observer_catch").split(","))
     ddl = ", ".join(f"`{c}` {types.get(c.lower(), 'string')}" for c in header)
-    df = lower_names(spark.read.csv(path, header=True, nullValue="NA", schema=ddl))
+    df = lower_names(spark.read.csv(path, header=True, nullValue="NA", schema=ddl, enforceSchema=False))
     missing = set(types) - set(df.columns)
     if missing:
         raise ValueError(f"landed file lacks {sorted(missing)}")

@@ -66,3 +66,13 @@ def test_jdbc_needs_a_driver_but_builds_the_scan(spark):
     with pytest.raises(Exception) as e:
         rd.scan_jdbc(spark, "jdbc:nosuch://x", "t", where="a = 1", partition_by=("id", 0, 10, 2))
     assert "driver" in str(e.value).lower()
+
+
+def test_landed_files_with_another_column_order_are_refused(spark, tmp_path):
+    names = [p.strip().split(" ")[0] for p in rd.schema("observer_catch").split(",")]
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    for i, cols in enumerate((names, names[::-1])):
+        (folder / f"{i}.csv").write_text(",".join(c.upper() for c in cols) + "\n" + ",".join("1" for _ in cols) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.scan_landed_csv(spark, str(folder)).collect()
