@@ -7,6 +7,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import DATA
@@ -100,6 +101,32 @@ def test_pipeline_stages_do_what_their_operators_find(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    said = ["a line that many rows repeat", *(f"words of row {k} alone, number {k}{k}{k}" for k in "pqrstuv")]
+    rows = [(i, f"{said[0]}\n{said[1 + n]}") for n, i in enumerate([1, 2, 2, 2, None, None])] + [(3, said[0]), (3, said[7]), (None, None)]
+    cleaned = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # Rows without an id come first: one of them keeps the line; all keep what they alone say.
+    assert sum(said[0] in (r.text or "") for r in cleaned) == 1
+    lone = collections.Counter((r.doc_id, (r.text or "").split("\n")[-1]) for r in cleaned)
+    ids = [1, 2, 2, 2, None, None, 3]
+    assert lone == collections.Counter([*zip(ids, said[1:]), (None, "")])
+    marked = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert marked.columns == ["doc_id", "line_no", "class_key", "class_line_no", "n_links", "kept"] and marked.where("kept").count() == 8
+
+
+def test_rows_that_share_an_id_are_near_copies_one_by_one(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = [t + " end" for t in texts]
+    rows = [(1, texts[0]), (2, near[0]), (2, texts[1]), (None, near[1]), (None, texts[2]), (None, near[2]), (None, texts[3]), (None, texts[3]), (5, texts[3] + " x")]
+    rows += [(None, None), (None, None), (None, " "), (6, near[0]), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    out = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    alone = [(i, t) for i, t in got.elements() if i is None and t in (texts[2], near[2])]
+    assert len(alone) == 1 and out.columns == docs.columns
+    assert got - collections.Counter(alone) == collections.Counter([(1, texts[0]), (2, texts[1]), (5, texts[3] + " x"), (None, None), (None, None), (None, " "), (6, None)])
+
+
 def test_pipeline_takes_an_empty_table(spark):
     docs = table(spark, DATA, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
