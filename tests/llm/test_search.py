@@ -163,6 +163,48 @@ def test_lines_against_all_pairs(spark):
     assert line_dedup.clean(docs.where("false")).count() == 0
 
 
+def test_long_lines_against_all_pairs(spark):
+    """With the parameters of the query: lines that differ by some words, on both sides of what is allowed."""
+    rnd = random.Random(11)
+
+    def reworded(x, n):
+        words = x.split(" ")
+        for _ in range(n):
+            i, kind = rnd.randrange(len(words)), rnd.randrange(3)
+            words[i : i + (kind > 0)] = ["".join(rnd.choices("klmno", k=7))] if kind < 2 else []
+        return " ".join(words)
+
+    def allowed(n):
+        return max((e for least, e in line_dedup.WORD_EDITS if n >= least), default=-1)
+
+    lines = []
+    for n in (15, 16, 20, 24, 30, 47, 48, 50, 79, 80, 100, 128, 140, 256, 270, 512):
+        for _ in range(2):
+            x = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(n))
+            e = max(allowed(n), 1)
+            lines += [x, reworded(x, 1), reworded(x, e - 1), reworded(x, e), reworded(x, e), reworded(x, e + 2), edited(rnd, x, 2)]
+    assert line_dedup.WORD_EDITS[-1] == (512, 15)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_key, r.n_links, r.kept) for r in line_dedup.classes(docs, edits=2, min_chars=24).collect()}
+    links = set()
+    for i, x in enumerate(lines):
+        # Lines of different origin have no word order in common.
+        for j in range(i + 1, len(lines)):
+            a, b = x.split(), lines[j].split()
+            e = allowed(min(len(a), len(b)))
+            if x == lines[j] or i // 7 != j // 7:
+                continue
+            if edit_distance(a, b) <= e or abs(len(x) - len(lines[j])) <= 2 and edit_distance(x, lines[j]) <= 2:
+                links.add((x, lines[j]))
+    different = sorted(set(lines))
+    degree = collections.Counter(x for link in {tuple(sorted(k)) for k in links} for x in link)
+    group, first = groups(different, links), {}
+    for i, x in enumerate(lines):
+        first.setdefault(group[x], i)
+    assert got == {i: (first[group[x]], degree[x], first[group[x]] == i) for i, x in enumerate(lines)}
+    assert sum(kept for _, _, kept in got.values()) < len(lines) / 2
+
+
 def test_block_max_search_is_exact():
     rnd = np.random.default_rng(3)
     vectors = []
