@@ -38,10 +38,10 @@ AT_ONCE = 16
 
 @dataclass(frozen=True)
 class Settings:
-    """``examples`` labelled rows of each label at most are learnt from, those of smallest hash; ``terms`` make the vocabulary."""
+    """``examples`` labelled rows of each label at most are learnt from, those of smallest hash; every term of theirs
+    whose labels differ by ``least_chi2`` is in the vocabulary, however many there are."""
 
     examples: int = 5000
-    terms: int = 128
     least_chi2: float = 25.0
     neighbours: int = 15
     block: int = 64
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     p = (F.col("a") + F.col("b")) / max(n0 + n1, 1)
     spread = p * (1 - p) * (1 / max(n0, 1) + 1 / max(n1, 1))
     chi2 = F.when(spread > 0, F.pow(F.col("b") / max(n1, 1) - F.col("a") / max(n0, 1), 2) / spread).otherwise(0.0)
-    best = per_term.withColumn("chi2", chi2).where(F.col("chi2") >= settings.least_chi2).orderBy(F.desc("chi2"), "term").limit(settings.terms)
+    best = per_term.withColumn("chi2", chi2).where(F.col("chi2") >= settings.least_chi2).orderBy(F.desc("chi2"), "term")
     terms = [r["term"] for r in best.collect()]
     df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("n")).collect()}
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])

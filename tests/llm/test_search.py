@@ -245,6 +245,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in rows)
 
 
+def test_every_telling_term_is_learnt(spark):
+    rnd = random.Random(9)
+    telling = [f"{a}{b}x" for a in "abcdefghij" for b in "klmnopqrstuvwyz"]
+    rows = [(i, " ".join(rnd.choices("the and of to in".split(), k=9) + (rnd.sample(telling, 12) if i % 2 else []))) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(telling) == 150 and set(telling) == set(model.vocabulary.terms)
+    lone = spark.createDataFrame(list(enumerate(telling)), "doc_id long, text string")
+    assert {r.predicted for r in toxicity.score(lone, model).collect()} == {1}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 10)
     rows = toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).collect()
