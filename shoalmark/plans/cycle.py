@@ -23,6 +23,7 @@ def model_inputs(
     ref_years: tuple[int, int] | None = None,
     by: Sequence[str] = (),
     land: Callable[[DataFrame], DataFrame] | None = None,
+    since: int = 1991,
 ) -> dict[str, DataFrame]:
     """The five model input tables of a cycle, each a lazy plan.
 
@@ -32,7 +33,8 @@ def model_inputs(
 
     ``fills`` defaults to the three mid-depth strata, the eastern one only in
     years in which its shallow stratum was surveyed.  ``ref_years`` limits the
-    years that enter the imputation mean; without it every year counts.
+    years that enter the imputation mean; without it every year counts.  The longline
+    table has the years after ``since``.
     """
     if fills is None:
         fills = {"WGOA_501_700": None, "CGOA_501_700": None, "EGOA_501_700": "EGOA_0_500"}
@@ -47,7 +49,7 @@ def model_inputs(
         "biomass_dat_3strat_impute": imputed.drop("n"),
         "biomass_dat_2strat": two,
         "biomass_dat_2strat_impute": two_imputed.select(*by, "year", "strata", "biomass", "cv"),
-        "cpue_dat": ix.longline_index(lls, areas, by=by),
+        "cpue_dat": ix.longline_index(lls, areas, since, by=by),
     }
 
 

@@ -201,9 +201,8 @@ SELECT tab, species, year, strata, {r('biomass', digits=7)}, {r('cpue', digits=7
         spliced=SPLICED,
     ), digits=7)
 def _(t):
-    # `longline` keeps years after 1995 only, as the default of the bundle is 1991.
-    lls = t.lls_area.where(F.col("year") > 1995).withColumnRenamed("mgmt_area", "council_management_area")
-    bundle = model_inputs(t.survey_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP)
+    lls = t.lls_area.withColumnRenamed("mgmt_area", "council_management_area")
+    bundle = model_inputs(t.survey_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, since=1995)
     out = None
     for name, df in bundle.items():
         df = df.drop("n").withColumn("tab", F.lit(name))

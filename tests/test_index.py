@@ -166,6 +166,13 @@ def test_model_inputs_bundle(spark, biom):
     assert got[(1990, "EGOA_0_700")] == (None,)  # that stratum was never surveyed, so there is no mean
 
 
+def test_model_inputs_since(spark, biom):
+    rows = [(y, "Western Gulf of Alaska", 9.0, 1.0) for y in (1990, 1993, 1995, 1996)]
+    lls = spark.createDataFrame(rows, "year int, council_management_area string, rpw double, rpw_var double")
+    years = lambda **k: {r.year for r in model_inputs(biom, lls, **k)["cpue_dat"].collect()}
+    assert years() == {1993, 1995, 1996} and years(since=1995) == {1996} and years(since=1980) == {1990, 1993, 1995, 1996}
+
+
 def test_species_ratio(spark):
     df = spark.createDataFrame([(1, "A", 2.0), (1, "B", 4.0), (2, "A", 1.0), (3, "B", 0.0), (3, "A", 1.0)], "year int, species string, v double")
     got = {r.year: (r.a, r.b, r.ratio) for r in ix.species_ratio(df, "A", "B", "v").collect()}
