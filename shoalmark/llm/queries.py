@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dedup, piece_sampling, quality_rules, sharding, token_counts, toxicity, warc
+from . import centroids, chat_format, decontaminate, license_scan, line_dedup, near_dedup, piece_sampling, quality_rules, sharding
+from . import license_rules as lr
+from . import token_alignment, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +230,103 @@ def piece_model() -> bytes:
 @query("op5_piece_sampling")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), k=2, seed=7, digest=True)
+
+
+def centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out; a vector's nearest centroid is the smallest of (distance, number)."""
+    steps = [
+        """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT %d)
+)"""
+        % k
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, m %% 1000 AS c, m // 1000 AS d FROM (
+    SELECT r, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min(c +
+      1000 * list_sum(list_transform(range(1, 65), lambda j: (v.v[j] - c{i}.v[j]) * (v.v[j] - c{i}.v[j])))) AS m
+    FROM v, c{i} GROUP BY r)
+)""".replace("%%", "%")
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v
+    FROM (SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(j) GROUP BY c, j) GROUP BY c) AS m USING (c)
+)"""
+            )
+    return (
+        ",".join(steps)
+        + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+    )
+
+
+@query("op11_centroids", centroid_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = centroids.cluster(vectors, k=40, rounds=5, dims=64, scale=256, seed=2)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), definition, piece_model())
+
+
+def license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({r.number}, {r.priority}, {quoted(r.label)}, {quoted(r.pattern)}, {lr.WEIGHT[r.priority]})" for r in lr.rules())
+    base = ", ".join(f"({quoted(label)}, {quoted(lr.over_words(p))})" for p, label in lr.BASE.items())
+    reach = ", ".join(
+        f"max(last) FILTER (p <= {p}) OVER (PARTITION BY doc_id ORDER BY first, last DESC, p, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r{p}"
+        for p in sorted(lr.WEIGHT)
+    )
+    inside = " ".join(f"WHEN {p} THEN coalesce(r{p}, -1)" for p in sorted(lr.WEIGHT))
+    return rf"""
+WITH rules(n, p, label, pattern, worth) AS (VALUES {rows}), base(label, pattern) AS (VALUES {base}),
+w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+),
+t AS MATERIALIZED (
+  SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(list_transform(words, lambda x, i: x || '#' || (i - 1)), ' ') AS placed FROM w
+),
+b AS (
+  SELECT doc_id, label, CAST(regexp_extract(m, '#(\d+)', 1) AS BIGINT) AS first
+  FROM (SELECT doc_id, label, unnest(regexp_extract_all(placed, pattern)) AS m FROM t, base)
+),
+h AS (
+  SELECT doc_id, n, p, label, worth, CAST(regexp_extract(m, '#(\d+)', 1) AS BIGINT) AS first, CAST(regexp_extract(m, '(\d+)$', 1) AS BIGINT) AS last
+  FROM (SELECT doc_id, n, p, label, worth, unnest(regexp_extract_all(placed, pattern)) AS m FROM t, rules)
+),
+k AS (SELECT doc_id, label, worth FROM (SELECT *, {reach} FROM h) WHERE last > CASE p {inside} END),
+bs AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+ls AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(worth) AS score
+  FROM (SELECT * FROM k UNION ALL SELECT doc_id, label, {lr.BASE_WEIGHT} FROM b) GROUP BY 1
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM t LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id)
+"""
+
+
+@query("op13_license_scan", license_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
