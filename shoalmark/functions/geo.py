@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -52,29 +53,61 @@ def albers_xy(lon: str | Column, lat: str | Column, p: AlbersParams = AlbersPara
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
-def in_ring(x: str | Column, y: str | Column, ring: str | Column) -> Column:
-    """Even-odd test of a point against a ring of ``struct<x, y>`` vertices; points on an edge or vertex are inside.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def placed(v: Column) -> Column:
+    """Whether a vertex has both coordinates."""
+    return v.x.isNotNull() & v.y.isNotNull() & ~F.isnan(v.x) & ~F.isnan(v.y)
+
+
+def edges_of(ring: str | Column) -> Column:
+    """Edges ``struct<ax, ay, bx, by>`` of a ring of ``struct<x, y>`` vertices; its first vertex need not be repeated.
 
-    The ring need not repeat its first vertex at the end.
+    Vertices that lack a coordinate are left out.
     """
-    x, y, ring = col(x), col(y), col(ring)
-    edges = F.zip_with(
-        ring,
-        F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)),
-        lambda a, b: F.struct(a.x.alias("ax"), a.y.alias("ay"), b.x.alias("bx"), b.y.alias("by")),
-    )
 
-    def crosses(e: Column) -> Column:
-        spans = (e.ay > y) != (e.by > y)
-        at = (e.bx - e.ax) * F.try_divide(y - e.ay, e.by - e.ay) + e.ax
-        return spans & (x < at)
+    def closed(v: Column) -> Column:
+        rest = F.concat(F.slice(v, 2, F.size(v)), F.slice(v, 1, 1))
+        return F.zip_with(v, rest, lambda a, b: F.struct(a.x.alias("ax"), a.y.alias("ay"), b.x.alias("bx"), b.y.alias("by")))
+
+    return let(F.filter(col(ring), placed), closed)
+
+
+def crosses(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from a point to larger ``x`` crosses an edge; an edge holds its lower end only."""
+    at = (e.bx - e.ax) * F.try_divide(y - e.ay, e.by - e.ay) + e.ax
+    return F.coalesce(((e.ay > y) != (e.by > y)) & (x < at), F.lit(False))
+
+
+def touches(e: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge or vertex."""
+    straight = (e.bx - e.ax) * (y - e.ay) == (e.by - e.ay) * (x - e.ax)
+    boxed = x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
+    return F.coalesce(straight & boxed, F.lit(False))
+
+
+def odd_crossings(edges: Column, x: Column, y: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: crosses(e, x, y))) % 2 == 1
+
+
+def in_ring(x: str | Column, y: str | Column, ring: str | Column) -> Column:
+    """Even-odd test of a point against a ring; points on an edge or vertex are inside."""
+    x, y = col(x), col(y)
+    return let(edges_of(ring), lambda edges: odd_crossings(edges, x, y) | F.exists(edges, lambda e: touches(e, x, y)))
+
+
+def dense_ring(ring: Column, step: float) -> Column:
+    """A ring with vertices added so that no edge is longer than ``step`` along either axis."""
 
-    def touches(e: Column) -> Column:
-        straight = (e.bx - e.ax) * (y - e.ay) == (e.by - e.ay) * (x - e.ax)
-        return straight & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
+    def pieces(e: Column) -> Column:
+        dx, dy = e.bx - e.ax, e.by - e.ay
+        n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / step)).cast("int")
+        return let(n, lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct((e.ax + dx * i / m).alias("x"), (e.ay + dy * i / m).alias("y"))))
 
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd | F.exists(edges, lambda e: F.coalesce(touches(e), F.lit(False)))
+    return F.flatten(F.transform(edges_of(ring), pieces))
 
 
 def square_ring(x: str | Column, y: str | Column, half: float) -> Column:

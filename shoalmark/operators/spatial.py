@@ -7,9 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import AlbersParams, albers_xy, in_ring, square_ring
+from ..functions.cover import DIVISIONS, FEW_EDGES, cover, holds, size_of
+from ..functions.geo import AlbersParams, albers_xy, dense_ring, square_ring
 from ..functions.nulls import col, not_in, strict_mean, strict_sum
 from ..sources.lookups import LONGLINE_AREAS, OBSERVER_FIXED_GEARS, TRAWL_AREAS, recode
+from ..sources.readers import with_bounds
 
 
 def midpoint(a: str | Column, b: str | Column) -> Column:
@@ -95,52 +97,63 @@ def project_albers(
     return df.withColumn("x", x).withColumn("y", y)
 
 
+def project_rings(polys: DataFrame, params: AlbersParams = AlbersParams(), step: float = 0.05) -> DataFrame:
+    """Polygons in degrees as polygons in metres.
+
+    Edges are straight in degrees and bent in metres, so they get a vertex at least every ``step`` degrees first.
+    """
+
+    def vertex(v: Column) -> Column:
+        x, y = albers_xy(v.x, v.y, params)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    rings = F.transform("rings", lambda r: F.transform(dense_ring(r, step), vertex))
+    return with_bounds(polys.select("poly_id", rings.alias("rings")))
+
+
 def points_in_strata(
-    pts: DataFrame, polys: DataFrame, x: str = "lon", y: str = "lat", cell: float | None = None, salts: int = 8
+    pts: DataFrame, polys: DataFrame, x: str = "lon", y: str = "lat", few: int = FEW_EDGES, divisions: int = DIVISIONS
 ) -> DataFrame:
-    """Points that lie inside at least one polygon; each point comes out once.
-
-    ``polys`` is ``(poly_id, ring, xmin, xmax, ymin, ymax)``.  Points and
-    polygon boxes meet on a square grid, so only polygons near a point are
-    tested, and the join is a semi-join on the grid cell.  Points are spread
-    over ``salts`` sub-keys, so a cell with most of the points is shared by
-    several tasks.  ``cell`` is the grid step in the units of the coordinates;
-    by default an eighth of the largest box, with which no ring is repeated for
-    more than 81 cells.
+    """Points that lie inside at least one polygon, or on an edge of one; each point comes out once.
+
+    ``polys`` is ``(poly_id, rings, xmin, xmax, ymin, ymax)``; rings are parts, holes and islands, judged together by
+    the even-odd rule.  Places, not points, meet the polygons' cells (``functions/cover.py``): a place that many points
+    share is judged once, and only a place in a cell that an edge touches is compared with edges.  A place is looked up
+    in a cell of each size that the covers have.  Points without a coordinate are in no polygon.
     """
-    if cell is None:
-        widest = F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
-        step = polys.agg(F.nullif(widest / 8, F.lit(0.0))).scalar()
-    else:
-        step = F.lit(float(cell))
+    cells = cover(polys.select("poly_id", "rings", "xmin", "xmax", "ymin", "ymax"), few, divisions)
+    sizes = cells.agg(F.collect_set("k")).scalar()
+    places = pts.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
 
     def at(c: str) -> Column:
-        return F.floor(F.col(c) / F.col("_step")).cast("long")
-
-    boxes = (
-        polys.withColumn("_step", step)
-        .withColumn("_cx", F.explode(F.sequence(at("xmin"), at("xmax"))))
-        .withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
-        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select("_cx", "_cy", "_s", *[F.col(c).alias(f"_{c}") for c in ("ring", "xmin", "xmax", "ymin", "ymax")])
-        # However few the polygons, what they are exploded to has no bound: never broadcast.
-        .hint("merge")
+        return F.floor(F.col(c) / size_of(F.col("_k"))).cast("long")
+
+    found = (
+        places.withColumn("_k", F.explode(sizes))
+        # However few the polygons, the number of their cells has no bound: never broadcast by a hint.
+        .join(cells.hint("merge"), (F.col("_k") == F.col("k")) & (at("_x") == F.col("cx")) & (at("_y") == F.col("cy")))
+        .where(holds(F.col("_x"), F.col("_y")))
+        .select("_x", "_y")
+        .distinct()
     )
-    located = (
-        pts.withColumn("_step", step)
-        .withColumn("_px", at(x))
-        .withColumn("_py", at(y))
-        .withColumn("_ps", F.pmod(F.xxhash64(*pts.columns), F.lit(salts)).cast("int"))
-    )
-    inside = (
-        (F.col("_px") == F.col("_cx"))
-        & (F.col("_py") == F.col("_cy"))
-        & (F.col("_ps") == F.col("_s"))
-        & F.col(x).between(F.col("_xmin"), F.col("_xmax"))
-        & F.col(y).between(F.col("_ymin"), F.col("_ymax"))
-        & in_ring(x, y, "_ring")
-    )
-    return located.join(boxes, inside, "left_semi").select(*pts.columns)
+    return pts.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
+
+
+def observer_cells(
+    obs: DataFrame,
+    polys: DataFrame,
+    species: str,
+    after: int = 2022,
+    params: AlbersParams = AlbersParams(),
+    half: float = 10_000,
+    step: float = 0.05,
+) -> DataFrame:
+    """Observed catch by year, gear class and cell centre, in the survey strata, with the cell's square in metres.
+
+    One plan: catch is summed, centres are projected, those inside a stratum (polygons in degrees, reprojected) stay.
+    """
+    catch = project_albers(gear_cell_catch(obs, species, after), params)
+    return square_cells(points_in_strata(catch, project_rings(polys, params, step), x="x", y="y"), half)
 
 
 def square_cells(df: DataFrame, half: float = 10_000, x: str = "x", y: str = "y") -> DataFrame:

@@ -69,11 +69,11 @@ def _(t):
     ),
 )
 def _(t):
-    cells = sp.square_cells(t.obs_points, 0.5, "lon", "lat").select(F.col("id").cast("string").alias("poly_id"), "ring")
+    cells = sp.square_cells(t.obs_points, 0.5, "lon", "lat").select(F.col("id").cast("string").alias("poly_id"), F.array("ring").alias("rings"))
     path = wr.shared_folder(t.spark)
     cells.write.parquet(path)
     polys = rd.scan_polygons(t.spark, path)
-    return polys.select("poly_id", F.size("ring").alias("vertices"), "xmin", "xmax", "ymin", "ymax")
+    return polys.select("poly_id", F.size(F.flatten("rings")).alias("vertices"), "xmin", "xmax", "ymin", "ymax")
 
 
 @query("sink_csv", sql(f"SELECT year, area, retention, {r('catch')} FROM area_catch"))

@@ -149,16 +149,29 @@ def _(t):
     return sp.project_albers(t.obs_points)
 
 
-# Two rings: the concave one overlaps the square one, so membership in both must not repeat a point.
+# The concave ring overlaps the square, so membership in both must not repeat a point; the square has a hole, an island
+# in the hole, and a second part.
 RINGS = {
-    "concave": [(-165.0, 53.0), (-150.0, 53.0), (-158.0, 55.5), (-150.0, 58.0), (-165.0, 58.0)],
-    "square": [(-160.5, 56.5), (-140.2, 56.5), (-140.2, 59.5), (-160.5, 59.5)],
+    "concave": [[(-165.0, 53.0), (-150.0, 53.0), (-158.0, 55.5), (-150.0, 58.0), (-165.0, 58.0)]],
+    "square": [
+        [(-160.5, 56.5), (-140.2, 56.5), (-140.2, 59.5), (-160.5, 59.5)],
+        [(-149.5, 56.8), (-141.5, 56.8), (-141.5, 59.2), (-149.5, 59.2)],
+        [(-146.5, 57.5), (-144.0, 57.5), (-144.0, 58.5), (-146.5, 58.5)],
+        [(-139.5, 52.5), (-133.5, 52.5), (-136.5, 55.5)],
+    ],
 }
-EDGES = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{k}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
-    for k, ring in RINGS.items()
-    for a, b in zip(ring, ring[1:] + ring[:1])
-) + ") AS e(poly_id, ax, ay, bx, by_)"
+
+
+def edges_sql(polys: dict, shift: float = 0.0) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(
+        f"('{k}', {a[0] + shift}::DOUBLE, {a[1] + shift}::DOUBLE, {b[0] + shift}::DOUBLE, {b[1] + shift}::DOUBLE)"
+        for k, rings in polys.items()
+        for ring in rings
+        for a, b in zip(ring, ring[1:] + ring[:1])
+    ) + ") AS e(poly_id, ax, ay, bx, by_)"
+
+
+EDGES = edges_sql(RINGS)
 INSIDE = """SELECT * FROM obs_points p WHERE EXISTS (
   SELECT 1 FROM edges e WHERE (e.ay > p.lat) <> (e.by_ > p.lat)
     AND p.lon < (e.bx - e.ax) * ((p.lat - e.ay) / nullif(e.by_ - e.ay, 0)) + e.ax
@@ -167,9 +180,9 @@ OR EXISTS (SELECT 1 FROM edges e WHERE sqrt(power(p.lon - e.ax, 2) + power(p.lat
   + sqrt(power(p.lon - e.bx, 2) + power(p.lat - e.by_, 2)) <= sqrt(power(e.bx - e.ax, 2) + power(e.by_ - e.ay, 2)) * (1 + 1e-15))"""
 
 
-def polygons(t):
-    rows = [(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in RINGS.items()]
-    return with_bounds(lookup(t.spark, rows, "poly_id string, ring array<struct<x: double, y: double>>"))
+def polygons(t, shift: float = 0.0):
+    rows = [(k, [[{"x": x + shift, "y": y + shift} for x, y in ring] for ring in rings]) for k, rings in RINGS.items()]
+    return with_bounds(lookup(t.spark, rows, "poly_id string, rings array<array<struct<x: double, y: double>>>"))
 
 
 @query(
@@ -185,7 +198,43 @@ def _(t):
     sql("SELECT lon, lat, count(*) AS n FROM inside GROUP BY lon, lat", inside=INSIDE, edges=EDGES),
 )
 def _(t):
-    return sp.points_in_strata(t.obs_points, polygons(t), cell=5.0).groupBy("lon", "lat").agg(F.count("*").alias("n"))
+    return sp.points_in_strata(t.obs_points, polygons(t), few=4).groupBy("lon", "lat").agg(F.count("*").alias("n"))
+
+
+# Straight edges in degrees, a vertex at least every quarter of a degree, in metres; no point lies on one.
+SHIFT, STEP = 0.0625, 0.25
+PIECES = f"""
+SELECT poly_id, ax + (bx - ax) * i / n AS alon, ay + (by_ - ay) * i / n AS alat,
+  CASE WHEN i + 1 = n THEN bx ELSE ax + (bx - ax) * (i + 1) / n END AS blon,
+  CASE WHEN i + 1 = n THEN by_ ELSE ay + (by_ - ay) * (i + 1) / n END AS blat
+FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) AS i FROM
+  (SELECT *, greatest(1, ceil(greatest(abs(bx - ax), abs(by_ - ay)) / {STEP})) AS n FROM ({edges_sql(RINGS, SHIFT)})))"""
+BENT = f"""SELECT poly_id, {_doubles(_albers_sql("alon", "alat")[0])} AS ax, {_doubles(_albers_sql("alon", "alat")[1])} AS ay,
+  {_doubles(_albers_sql("blon", "blat")[0])} AS bx, {_doubles(_albers_sql("blon", "blat")[1])} AS by_ FROM pieces"""
+OBS_CELLS = f"""SELECT *, {AX} AS x, {AY} AS y FROM (
+  SELECT year, lat, lon, CASE WHEN gear IN ('BUILDING', 'MACHINERY') THEN 'Fixed' ELSE 'Trawl' END AS gear, sum(kg) / 1000 AS weight
+  FROM obs_points WHERE id % 5 <> 0 AND year > 2023 GROUP BY ALL)"""
+
+
+@query(
+    "observer_cells",
+    sql(
+        f"""SELECT year, lat, lon, gear, {r('weight', digits=3)}, {r('x', digits=3)}, {r('y', digits=3)}, {r('x - 10000', 'xmin', 3)}, {r('y + 10000', 'ymax', 3)}
+FROM obs_cells c WHERE EXISTS (
+  SELECT 1 FROM bent e WHERE (e.ay > c.y) <> (e.by_ > c.y) AND c.x < (e.bx - e.ax) * ((c.y - e.ay) / nullif(e.by_ - e.ay, 0)) + e.ax
+  GROUP BY poly_id HAVING count(*) % 2 = 1)""",
+        pieces=PIECES,
+        bent=BENT,
+        obs_cells=OBS_CELLS,
+    ),
+    digits=3,
+)
+def _(t):
+    codes = {"BUILDING": "POT", "MACHINERY": "LGL"}
+    obs = t.obs_points.withColumn("species", F.when(F.col("id") % 5 != 0, "target").otherwise("other"))
+    obs = obs.withColumn("gear", recode("gear", codes, F.col("gear")))
+    cells = sp.observer_cells(obs, polygons(t, SHIFT), "target", 2023, step=STEP)
+    return cells.select("year", "lat", "lon", "gear", "weight", "x", "y", F.col("ring")[0].x.alias("xmin"), F.col("ring")[2].y.alias("ymax"))
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import placed
 from .schemas import schema
 
 
@@ -80,16 +81,21 @@ def scan_landed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon layer ``(poly_id, ring)`` with the bounding box of each ring."""
+    """Polygon layer ``(poly_id, rings)`` with the bounding box of each polygon.
+
+    A polygon is a list of rings: parts, holes and islands.  Files with one ``ring`` a polygon are read as well.
+    """
     df = spark.read.schema(schema("polygons")).parquet(path)
-    return with_bounds(df)
+    return with_bounds(df.select("poly_id", F.coalesce("rings", F.when(F.col("ring").isNotNull(), F.array("ring"))).alias("rings")))
 
 
 def with_bounds(polys: DataFrame) -> DataFrame:
-    xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
+    """``poly_id, rings`` with ``xmin, xmax, ymin, ymax`` over all rings; vertices without a coordinate do not count."""
+    vertices = F.filter(F.flatten("rings"), placed)
+    xs, ys = F.transform(vertices, lambda v: v.x), F.transform(vertices, lambda v: v.y)
     return polys.select(
         "poly_id",
-        "ring",
+        "rings",
         F.array_min(xs).alias("xmin"),
         F.array_max(xs).alias("xmax"),
         F.array_min(ys).alias("ymin"),

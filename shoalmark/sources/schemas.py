@@ -34,7 +34,7 @@ _SCHEMAS = {
     "observer_catch": "lat400sqkm double, lon400sqkm double, species string, year int, gear string, kg double",
     "index_csv": "year int, strata string, n int, biomass double, cv double",
     "cpue_csv": "year int, strata string, cpue double, cv double",
-    "polygons": "poly_id string, ring array<struct<x: double, y: double>>",
+    "polygons": "poly_id string, ring array<struct<x: double, y: double>>, rings array<array<struct<x: double, y: double>>>",
 }
 
 
