@@ -35,9 +35,9 @@ SPACE = "▁"
 #: Where texts may be cut for both tokenizers: a single space between two words.
 CUT = re.compile(r"(?<=[^ ]) (?=[^\s\u180e\u200b\ufeff])")
 #: Characters of texts that make a block; memory is about 60 bytes for each, or for the longest text.
-BLOCK = 4_000_000
-#: Characters of units that are spelled in one call, and rows that are expanded at once.
-RUN, ROWS = 32_000, 2_000_000
+BLOCK = 3_000_000
+#: Characters of units that are spelled as one text, such texts in one call, and rows that are expanded at once.
+RUN, CALL, ROWS = 32_000, 6, 500_000
 #: Fields of the landed blocks: a row per document, and one with the units and pairs of the block.
 STATS = ["n_a", "n_b", "n_groups", "n_links"]
 _SPELLERS: dict[str, Speller] = {}
@@ -98,8 +98,8 @@ class Speller:
             runs[-1][1] = i + 1
             size += len(units[i]) + 1
         found, counts, good = [], np.zeros(len(units), np.int64), np.ones(len(units), bool)
-        for at in range(0, len(runs), 64):
-            some = runs[at : at + 64]
+        for at in range(0, len(runs), CALL):
+            some = runs[at : at + CALL]
             for (lo, hi), ids in zip(some, encode([" ".join(units[lo:hi]) for lo, hi in some]), strict=True):
                 raw = [u.encode() for u in units[lo:hi]]
                 code = np.array(ids, np.int64)
