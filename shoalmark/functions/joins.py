@@ -37,6 +37,16 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(spark.createDataFrame(table, schema))
 
 
+def checked_broadcast(df: DataFrame, most: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """A derived table that is small by design, marked for broadcasting; more than ``most`` rows are an error.
+
+    The rows are counted by the plan itself, before the first of them is sent.
+    """
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    wrong = F.raise_error(F.concat(rows.cast("string"), F.lit(f" rows are too many to broadcast; the limit is {most}")))
+    return F.broadcast(df.where(F.when(rows > most, wrong.cast("boolean")).otherwise(F.lit(True))))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a missing key matches a missing key; the keys of ``left`` are kept.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import salted_join
+from .radix import interpolated, neighbours_in, radix_quantiles
 
 #: Rows a bucket should hold.  Groups below this size stay whole.
 BUCKET_ROWS = 65_536
@@ -101,6 +102,7 @@ def exact_quantiles(
     probs: Sequence[float],
     weight: str | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group and probability.
 
@@ -108,55 +110,38 @@ def exact_quantiles(
     the ``n`` values in order.  Missing values are skipped; ``weight`` is a
     whole-number frequency, and a fractional one is an error.  Columns:
     ``by..., prob, n, q``.
+
+    ``few_groups`` says that the groups are configuration (parameters, samplers,
+    models): rows are then not shuffled at all, see ``radix.py``, and more bins
+    than ``MAX_LOOKUP_ROWS`` are an error.
     """
-    times = F.lit(1)
+    times = F.lit(1).cast("long")
     if weight:
         w = F.col(weight)
         wrong = F.raise_error(F.lit(f"{weight} must hold whole numbers")).cast("long")
         times = F.when(w != F.floor(w), wrong).otherwise(w.cast("long"))
+    grid = doubles(probs)
+    known = df.where(F.col(value).isNotNull()).select(_group_key(by), F.col(value).cast("double").alias("_v"), times.alias("_w"))
+    if few_groups:
+        out = radix_quantiles(known.where("_w > 0"), grid)
+        return out.select(*[F.col("_g")[c].alias(c) for c in by], "prob", "n", "q")
     # Equal values collapse before they travel, so a repeated value costs one row.
-    vals = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(_group_key(by), F.col(value).cast("double").alias("_v"))
-        .agg(F.sum(times).alias("_w"))
-        .where("_w > 0")
-    )
+    vals = known.groupBy("_g", "_v").agg(F.sum("_w").alias("_w")).where("_w > 0")
     rows = _with_bucket(vals, "_v", bucket_rows)
     totals = rows.groupBy("_g", "_bucket").agg(F.sum("_w").alias("_bw"))
     # One row per bucket reaches these windows.
     group = Window.partitionBy("_g")
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = doubles(probs)
-
-    def neighbours_in(n: Column, start: Column, end: Column) -> Column:
-        """Probabilities with a neighbour position inside ``[start, end)``."""
-        return F.filter(
-            grid,
-            lambda p: (F.floor(p * (n - 1)) < end) & (F.ceil(p * (n - 1)) >= start),
-        )
-
     starts = (
         totals.withColumn("_n", F.sum("_bw").over(group))
         .withColumn("_start", F.sum("_bw").over(upto) - F.col("_bw"))
-        .withColumn("_ps", neighbours_in(F.col("_n"), F.col("_start"), F.col("_start") + F.col("_bw")))
+        .withColumn("_ps", neighbours_in(grid, F.col("_n"), F.col("_start"), F.col("_start") + F.col("_bw")))
         .where(F.size("_ps") > 0)
         .drop("_bw")
     )
     inside = Window.partitionBy("_g", "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_start") + F.coalesce(F.sum("_w").over(inside), F.lit(0))
-    last = F.col("_first") + F.col("_w") - 1
-    hits = (
-        rows.join(starts, ["_g", "_bucket"])
-        .withColumn("_first", first)
-        .withColumn("prob", F.explode("_ps"))
-        .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
-        .withColumn("_lo", F.floor("_h").between(F.col("_first"), last))
-        .withColumn("_hi", F.ceil("_h").between(F.col("_first"), last))
-        .where("_lo or _hi")
-    )
-    low, high = F.max(F.when(F.col("_lo"), F.col("_v"))), F.max(F.when(F.col("_hi"), F.col("_v")))
-    part = F.max(F.col("_h") - F.floor("_h"))
-    out = hits.groupBy("_g", "prob").agg(F.max("_n").alias("n"), (low + (high - low) * part).alias("q"))
+    out = interpolated(rows.join(starts, ["_g", "_bucket"]).withColumn("_first", first), ["_g"])
     return out.select(*[F.col("_g")[c].alias(c) for c in by], "prob", "n", "q")
 
 

@@ -51,8 +51,13 @@ def extra_cv(fits: dict[str, DataFrame]) -> DataFrame:
 
 
 def pivot_models(df: DataFrame, ids: Sequence[str], models: Sequence[str], value: str) -> DataFrame:
-    """One column per listed model.  The list saves the job that would look for distinct values."""
-    return df.groupBy(*ids).pivot("model_name", list(models)).agg(F.max(value))
+    """One column per listed model.  The list saves the job that would look for distinct values.
+
+    A second row of a model for the same ``ids`` is an error, found in the same pass.
+    """
+    message = F.format_string(f"%d rows of model %s for one ({', '.join(ids)})", F.count(F.lit(1)), F.max("model_name"))
+    second = F.raise_error(message).cast(df.schema[value].dataType)
+    return df.groupBy(*ids).pivot("model_name", list(models)).agg(F.when(F.count(F.lit(1)) > 1, second).otherwise(F.max(value)))
 
 
 def prediction_table(by_strata: DataFrame, total: DataFrame, models: Sequence[str]) -> DataFrame:

@@ -16,20 +16,23 @@ def scaffold(
 ) -> DataFrame:
     """Every year that occurs x every listed stratum; combinations without data have nulls.
 
-    ``df`` is an aggregated index with one row per (by, year, stratum).  The
-    cells of a year are gathered - at most one per listed stratum - and laid out
-    against the list, so the input is read once and nothing is joined.  A year
-    that has only unlisted strata keeps its (empty) grid rows.
+    ``df`` is an aggregated index with one row per (by, year, stratum); a second
+    row for a listed cell is an error.  The cells of a year are gathered - at
+    most one per listed stratum - and laid out against the list, so the input is
+    read once and nothing is joined.  A year that has only unlisted strata keeps
+    its (empty) grid rows.
     """
     keys = [*by, "year"]
     values = [c for c in df.columns if c not in (*keys, strata_col)]
     cell = F.struct(F.col(strata_col).alias("_s"), *values)
+    second = F.raise_error(F.concat(F.lit("more than one row for year and stratum: "), F.to_json(F.col("_hits"))))
     listed = F.when(F.col(strata_col).isin(list(strata)), cell)
     return (
         df.groupBy(*keys)
         .agg(F.collect_list(listed).alias("_cells"))
         .withColumn(strata_col, F.explode(F.array(*[F.lit(s) for s in strata])))
-        .withColumn("_hit", F.get(F.filter("_cells", lambda c: c["_s"] == F.col(strata_col)), F.lit(0)))
+        .withColumn("_hits", F.filter("_cells", lambda c: c["_s"] == F.col(strata_col)))
+        .withColumn("_hit", F.when(F.size("_hits") > 1, second).otherwise(F.get("_hits", F.lit(0))))
         .select(*keys, strata_col, *[F.col(f"_hit.{v}").alias(v) for v in values])
     )
 

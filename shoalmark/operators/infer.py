@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import lookup, null_safe_join, salted_join
+from ..functions.geo import let
+from ..functions.joins import checked_broadcast, lookup, null_safe_join, salted_join
 from ..functions.nulls import finite, ratio
 from ..functions.ranking import doubles, exact_quantiles, grid_probs
 from ..functions.text import one_decimal
@@ -17,56 +18,108 @@ from ..sources.lookups import recode
 Z95 = 1.959963984540054
 
 
+#: Strata whose pairs are worked on by one task.
+PAIR_BLOCK = 32
+
+
 def strata_correlation(
     df: DataFrame, strata: Sequence[str], value: str = "pred", by: Sequence[str] = (), stat: str = "corr"
 ) -> DataFrame:
     """Upper triangle of the correlation (or ``covar_samp``) matrix of the strata's yearly series.
 
-    The series become columns first, so every pair is one aggregate of a single
-    pass and no rows are paired.  Years in which one of the two is missing do
-    not count for that pair.
+    A group's series become one array per year, in the order of the list, and the matrix is cut into blocks of
+    ``PAIR_BLOCK`` strata by as many: a row per pair of blocks holds the two pieces of every year, and all its cells
+    are computed there.  Nothing is joined, no pair is an aggregate or a row before it is a result.  Years in which
+    one of the two is missing do not count for that pair.  A second row for a year and stratum is an error; undefined
+    values are missing.
     """
-    strata = list(strata)
+    strata = list(dict.fromkeys(strata))
     if stat not in ("corr", "covar_samp"):
         raise ValueError(f"unknown statistic {stat}")
-    wide = df.groupBy(*by, "year").pivot("strata", strata).agg(F.max(value))
-    pairs = [(a, b) for i, a in enumerate(strata) for b in strata[i:]]
+    names = F.array(*[F.lit(s) for s in strata])
+    cell = F.when(F.col("strata").isin(strata), F.struct("strata", F.col(value).cast("double").alias("v")))
+    second = F.raise_error(F.lit("more than one row for a year and stratum")).cast("array<double>")
+    cells = F.col("_cells")
+    dense = F.transform(names, lambda s: F.try_element_at(F.map_from_entries(cells), s)["v"])
+    keyed = F.transform(cells, lambda c: F.struct(c["strata"].alias("key"), c.alias("value")))
+    yearly = (
+        df.groupBy(*by, "year")
+        .agg(F.collect_list(cell).alias("_cells"))
+        .withColumn("_once", F.size(F.array_distinct(F.transform(cells, lambda c: c["strata"]))) == F.size(cells))
+        .withColumn("_cells", F.when(F.col("_once"), keyed))
+        .select(*by, F.when(F.col("_once"), dense).otherwise(second).alias("_v"))
+    )
+    count = -(-len(strata) // PAIR_BLOCK)
+    pairs = F.array(*[F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a in range(count) for b in range(a, count)])
+
+    def piece(rows: Column, block: Column) -> Column:
+        """Columns of a block: an array over the years for each of its strata."""
+        width = F.least(F.lit(PAIR_BLOCK), F.lit(len(strata)) - block * PAIR_BLOCK)
+        return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows, lambda r: F.get(r, block * PAIR_BLOCK + i)))
+
+    blocks = (
+        yearly.groupBy(*by)
+        .agg(F.collect_list("_v").alias("_rows"))
+        .select(*by, "_rows", F.explode(pairs).alias("_p"))
+        .select(*by, "_p.*", piece(F.col("_rows"), F.col("_p._a")).alias("_x"), piece(F.col("_rows"), F.col("_p._b")).alias("_y"))
+        .repartition(*by, "_a", "_b")
+    )
+
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def of_pair(x: Column, y: Column) -> Column:
+        both = F.filter(F.zip_with(x, y, lambda p, q: F.struct(p.alias("x"), q.alias("y"))), lambda p: p.x.isNotNull() & p.y.isNotNull())
 
-    def cell(i: int, a: str, b: str) -> Column:
-        # Both aggregates skip a row in which one of the two is missing.
-        x, y = (s.replace("`", "``") for s in (a, b))
-        return F.expr(f"{stat}(`{x}`, `{y}`)").alias(f"_{i}")
+        def centred(w: Column) -> Column:
+            n = F.size(w)
+            means = F.struct(ratio(total(F.transform(w, lambda p: p.x)), n).alias("x"), ratio(total(F.transform(w, lambda p: p.y)), n).alias("y"))
+            return let(means, lambda m: F.struct(n.alias("n"), *[
+                total(F.transform(w, lambda p: (p[i] - m[i]) * (p[j] - m[j]))).alias(i + j) for i, j in ("xx", "xy", "yy")
+            ]))
 
-    stats = wide.groupBy(*by).agg(*[cell(i, a, b) for i, (a, b) in enumerate(pairs)])
-    text = {s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in strata}
-    named = ", ".join(f"{text[a]}, {text[b]}, _{i}" for i, (a, b) in enumerate(pairs))
-    long = stats.select(*by, F.expr(f"stack({len(pairs)}, {named}) AS (strata_a, strata_b, _v)"))
-    return long.select(*by, "strata_a", "strata_b", finite("_v").alias(stat))
+        def result(s: Column) -> Column:
+            return ratio(s.xy, F.sqrt(s.xx * s.yy)) if stat == "corr" else F.when(s.n > 1, ratio(s.xy, s.n - 1))
+
+        return let(let(both, centred), result)
+
+    matrix = F.transform("_x", lambda x, i: F.transform("_y", lambda y, j: F.struct(i.alias("i"), j.alias("j"), of_pair(x, y).alias("_s"))))
+    at = lambda block, place: F.col(block) * PAIR_BLOCK + F.col(f"_c.{place}")
+    return (
+        blocks.select(*by, "_a", "_b", F.explode(F.flatten(matrix)).alias("_c"))
+        .where(at("_a", "i") <= at("_b", "j"))
+        .select(*by, F.get(names, at("_a", "i")).alias("strata_a"), F.get(names, at("_b", "j")).alias("strata_b"), finite("_c._s").alias(stat))
+    )
 
 
 def relative_error(true: DataFrame, recovered: DataFrame) -> DataFrame:
     """Relative error of each replicate, with its parameter's median, label and share of failed replicates.
 
     ``true(parameter, model)`` has one row per parameter; ``recovered(parameter,
-    replicate, estimate)`` may have any number, so per-parameter values reach
-    the replicates by a salted join.
+    replicate, estimate)`` may have any number.  The error is linear in the
+    estimate, so its median is that of the estimates, and all per-parameter
+    values reach the replicates by one salted join.
     """
-    paired = salted_join(recovered, true, ["parameter"], "inner")
-    errors = paired.withColumn("re", ratio(F.col("model") - F.col("estimate"), "model") * 100)
-    medians = exact_quantiles(errors, ["parameter"], "re", [0.5]).select("parameter", F.col("q").alias("median_re"))
-    failed = errors.groupBy("parameter").agg(F.avg(F.col("estimate").isNull().cast("int")).alias("share_missing"))
-    per_parameter = null_safe_join(failed, medians, ["parameter"], "left").withColumn(
-        "label", one_decimal("median_re", "Median RE=", "%")
+    medians = exact_quantiles(recovered, ["parameter"], "estimate", [0.5], few_groups=True).select("parameter", F.col("q").alias("_median"))
+    failed = recovered.groupBy("parameter").agg(F.avg(F.col("estimate").isNull().cast("int")).alias("share_missing"))
+    error = lambda estimate: ratio(F.col("model") - F.col(estimate), "model") * 100
+    per_parameter = (
+        null_safe_join(null_safe_join(true, failed, ["parameter"]), medians, ["parameter"], "left")
+        .withColumn("median_re", error("_median"))
+        .withColumn("label", one_decimal("median_re", "Median RE=", "%"))
+        .drop("_median")
     )
-    return salted_join(errors, per_parameter, ["parameter"], "left")
+    return salted_join(recovered, per_parameter, ["parameter"], "inner").withColumn("re", error("estimate"))
+
 
+def chain_index(df: DataFrame, chains: int, by: Sequence[str], draw: str = "draw_id", few_groups: bool = False) -> DataFrame:
+    """Chain number and iteration from an explicit 0-based draw number, chains stored one after another.
 
-def chain_index(df: DataFrame, chains: int, by: Sequence[str], draw: str = "draw_id") -> DataFrame:
-    """Chain number and iteration from an explicit 0-based draw number, chains stored one after another."""
+    ``few_groups`` says that the groups are configuration (samplers): their sizes are then broadcast, checked.
+    """
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chains).cast("long").alias("_per"))
+    sized = null_safe_join(df, checked_broadcast(sizes), list(by), "left") if few_groups else salted_join(df, sizes, list(by), "left")
     return (
-        salted_join(df, sizes, list(by), "left")
-        .withColumn("chain", (F.floor(F.col(draw) / F.col("_per")) + 1).cast("int"))
+        sized.withColumn("chain", (F.floor(F.col(draw) / F.col("_per")) + 1).cast("int"))
         .withColumn("iter", F.col(draw) % F.col("_per") + 1)
         .withColumnRenamed("_per", "draws_per_chain")
     )
@@ -83,7 +136,7 @@ def posterior_qq(
 ) -> DataFrame:
     """Matched quantiles of two samplers: ``parameter, quant, a, b``."""
     long = long_draws(draws, ["sampler"], names).where(F.col("sampler").isin(*samplers))
-    q = exact_quantiles(long, ["sampler", "parameter"], "value", probs or grid_probs())
+    q = exact_quantiles(long, ["sampler", "parameter"], "value", probs or grid_probs(), few_groups=True)
 
     def of(s: str) -> Column:
         return F.max(F.when(F.col("sampler") == s, F.col("q")))
@@ -119,8 +172,8 @@ def posterior_summary(
     and no R-hat.
     """
     by = ["sampler", "parameter"]
-    q = exact_quantiles(long_draws(draws, ["sampler"], names), by, "value", [0.025, 0.5, 0.975])
-    chained = long_draws(chain_index(draws, chains, ["sampler"]), ["sampler", "chain", "iter", "draws_per_chain"], names)
+    q = exact_quantiles(long_draws(draws, ["sampler"], names), by, "value", [0.025, 0.5, 0.975], few_groups=True)
+    chained = long_draws(chain_index(draws, chains, ["sampler"], few_groups=True), ["sampler", "chain", "iter", "draws_per_chain"], names)
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("q")))

@@ -17,11 +17,14 @@ SELECT p_type AS species, year(l_shipdate) AS year, p_size AS area_id,
        ELSE var_samp(l_extendedprice)*count(*)/1000000 END AS biomass_var,
   count(*) AS n_haul
 FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE NOT (p_size BETWEEN 29 AND 37 AND year(l_shipdate) IN (1996, 1998))
-  AND NOT (p_size BETWEEN 38 AND 46 AND year(l_shipdate) IN (1996, 1997, 1998, 2000))
-  AND NOT ((p_size BETWEEN 19 AND 28 OR p_size BETWEEN 35 AND 37) AND year(l_shipdate) = 2001)
 GROUP BY p_type, year(l_shipdate), p_size"""
 
+VIEWS["gap_area"] = """
+SELECT * FROM survey_area
+WHERE NOT (area_id BETWEEN 29 AND 37 AND year IN (1996, 1998))
+  AND NOT (area_id BETWEEN 38 AND 46 AND year IN (1996, 1997, 1998, 2000))
+  AND NOT ((area_id BETWEEN 19 AND 28 OR area_id BETWEEN 35 AND 37) AND year = 2001)"""
+
 VIEWS["strata_scheme"] = """
 SELECT * FROM (VALUES
   ('s9','WA','WA_0_500',1,8),('s9','CA','CA_0_500',9,18),('s9','EA','EA_0_500',19,28),
@@ -93,35 +96,41 @@ SELECT event_type AS parameter, event_id AS replicate,
 VIEWS["true_values"] = "SELECT event_type AS parameter, avg(value) AS model FROM events GROUP BY event_type"
 
 VIEWS["draws"] = """
-SELECT event_type AS sampler, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS draw_id,
+SELECT ['click', 'error', 'purchase', 'signup', 'view'][event_id % 5 + 1] AS sampler, event_id // 5 AS draw_id,
   CASE WHEN value > 0 THEN ln(value) END AS V1, value/100 AS V2 FROM events"""
 
-VIEWS["survey_filled"] = """
+def _filled(source: str) -> str:
+    return f"""
 SELECT species, year, area_id, biomass_mt, n_haul,
   CASE WHEN biomass_var IS NULL THEN power(0.5*biomass_mt, 2)
        WHEN biomass_var = 0 AND biomass_mt IS NULL THEN NULL
        WHEN biomass_var = 0 AND biomass_mt > 0 THEN power(0.5*biomass_mt, 2)
        ELSE biomass_var END AS biomass_var
-FROM survey_area"""
+FROM {source}"""
+
+
+VIEWS["survey_filled"] = _filled("survey_area")
+VIEWS["gap_filled"] = _filled("gap_area")
 
 
-def _trawl(scheme: str) -> None:
-    VIEWS[f"sums_{scheme}"] = f"""
+def _trawl(scheme: str, filled: str, name: str) -> None:
+    VIEWS[f"{name}_sums"] = f"""
 SELECT species, year, strata, CASE WHEN count(n_haul) = count(*) THEN sum(n_haul) END AS n,
   coalesce(sum(biomass_mt), 0) AS biomass,
   sqrt(coalesce(sum(biomass_var), 0)) / nullif(coalesce(sum(biomass_mt), 0), 0) AS cv
-FROM survey_filled JOIN strata_scheme ON scheme = '{scheme}' AND area_id BETWEEN lo AND hi
+FROM {filled} JOIN strata_scheme ON scheme = '{scheme}' AND area_id BETWEEN lo AND hi
 GROUP BY species, year, strata"""
-    VIEWS[f"trawl_{scheme}"] = f"""
+    VIEWS[name] = f"""
 SELECT g.species, g.year, g.strata, CAST(s.n AS BIGINT) AS n, s.biomass,
   CASE WHEN s.cv = 0 THEN 0.5 WHEN s.cv IS NULL AND s.biomass IS NOT NULL THEN 0.5 ELSE s.cv END AS cv
-FROM (SELECT * FROM (SELECT DISTINCT species, year FROM sums_{scheme})
+FROM (SELECT * FROM (SELECT DISTINCT species, year FROM {name}_sums)
       CROSS JOIN (SELECT DISTINCT strata FROM strata_scheme WHERE scheme = '{scheme}')) g
-LEFT JOIN sums_{scheme} s USING (species, year, strata)"""
+LEFT JOIN {name}_sums s USING (species, year, strata)"""
 
 
-_trawl("s9")
-_trawl("s6")
+for _scheme in ("s9", "s6"):
+    _trawl(_scheme, "gap_filled", f"trawl_{_scheme}")
+    _trawl(_scheme, "survey_filled", f"whole_{_scheme}")
 
 VIEWS["imputed_s9"] = """
 SELECT t.species, t.year, t.strata, t.n,

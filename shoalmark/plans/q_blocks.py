@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls as nl
 from ..functions.bins import right_closed_bin, threshold_label
+from ..functions.ranges import range_join
 from ..functions.text import estimate_with_cv, one_decimal
 from ..operators import grid
 from ..operators import index as ix
@@ -11,7 +12,7 @@ from ..sources import lookups as lk
 from ..sources.readers import lower_names
 from .oracle import r, sql
 from .q_catch import tidy
-from .q_index import trawl6, trawl9
+from .q_index import trawl6, trawl9, whole9
 from .registry import query
 from .standins import MODELS, S6, S9
 
@@ -79,6 +80,23 @@ def _(t):
     return ix.assign_strata(t.survey_area, S9).select("species", "year", "area_id", "strata", "biomass_mt")
 
 
+@query(
+    "range_join_table",
+    sql(
+        """SELECT l_orderkey, l_linenumber, p_partkey, p_type FROM lineitem
+JOIN part ON l_suppkey * 40 + l_linenumber BETWEEN p_partkey * 25 AND CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey * 25 + p_size END
+UNION ALL SELECT l_orderkey, l_linenumber, p_partkey, p_type FROM lineitem
+JOIN part ON p_partkey % 50 = 0 AND l_suppkey * 40 + l_linenumber >= p_partkey * 25"""
+    ),
+)
+def _(t):
+    key = F.col("p_partkey")
+    end = F.when(key % 50 != 0, key * 25 + F.col("p_size"))
+    ranges = t.base("part").select("p_partkey", "p_type", (key * 25).alias("lo"), end.alias("hi"))
+    codes = t.base("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 40 + F.col("l_linenumber")).alias("code"))
+    return range_join(codes, ranges, "code").drop("code")
+
+
 @query(
     "range_lookup_join",
     sql(
@@ -254,13 +272,13 @@ def _(t):
 @query(
     "filter_pattern",
     sql(
-        f"""SELECT species, year, strata, {r('biomass')} FROM trawl_s9 WHERE contains(strata, '701_1000')
+        f"""SELECT species, year, strata, {r('biomass')} FROM whole_s9 WHERE contains(strata, '701_1000')
   OR regexp_matches(strata, '^(WA|CA)_501')"""
     ),
 )
 def _(t):
     s = F.col("strata")
-    return trawl9(t).where(s.contains("701_1000") | s.rlike("^(WA|CA)_501")).select("species", "year", "strata", "biomass")
+    return whole9(t).where(s.contains("701_1000") | s.rlike("^(WA|CA)_501")).select("species", "year", "strata", "biomass")
 
 
 @query(
@@ -418,14 +436,14 @@ def _(t):
     "union_by_name",
     sql(
         f"""SELECT species, year, strata, {r('cv')}, {r('biomass')}, {r('cpue')} FROM (
-  SELECT species, year, strata, cv, biomass, NULL::DOUBLE AS cpue FROM trawl_s9
+  SELECT species, year, strata, cv, biomass, NULL::DOUBLE AS cpue FROM whole_s9
   UNION ALL SELECT species, year, strata, cv, NULL, cpue FROM longline)"""
     ),
 )
 def _(t):
     from .q_index import longline
 
-    return trawl9(t).drop("n").unionByName(longline(t), allowMissingColumns=True)
+    return whole9(t).drop("n").unionByName(longline(t), allowMissingColumns=True)
 
 
 @query(
@@ -447,11 +465,11 @@ def _(t):
     sql(
         "SELECT species, year, "
         + ", ".join(r(f"max(CASE WHEN strata = '{s}' THEN biomass END)", s) for s in S9.strata)
-        + " FROM trawl_s9 GROUP BY species, year"
+        + " FROM whole_s9 GROUP BY species, year"
     ),
 )
 def _(t):
-    return trawl9(t).groupBy("species", "year").pivot("strata", S9.strata).agg(F.max("biomass"))
+    return whole9(t).groupBy("species", "year").pivot("strata", S9.strata).agg(F.max("biomass"))
 
 
 @query(

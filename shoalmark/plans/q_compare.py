@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as cp
 from .oracle import r, sql
-from .q_index import longline, trawl6, trawl9
+from .q_index import longline, whole6, whole9
 from .registry import query
 from .standins import MODELS
 
@@ -184,12 +184,12 @@ def _change(source, by, value, group):
 @query(
     "stratum_change",
     sql(
-        f"""SELECT 'trawl' AS survey, * FROM ({_change(f'(SELECT *, {AREA_SQL} AS area FROM trawl_s9)', 'species, area', 'biomass', 'species, area')})
+        f"""SELECT 'trawl' AS survey, * FROM ({_change(f'(SELECT *, {AREA_SQL} AS area FROM whole_s9)', 'species, area', 'biomass', 'species, area')})
 UNION ALL SELECT 'longline', * FROM ({_change('(SELECT *, strata AS area FROM longline)', 'species, area', 'cpue', 'species, area')})"""
     ),
 )
 def _(t):
-    trawl = cp.stratum_change(trawl9(t), 1997, 1999, "biomass", area(), SP)
+    trawl = cp.stratum_change(whole9(t), 1997, 1999, "biomass", area(), SP)
     lls = cp.stratum_change(longline(t), 1997, 1999, "cpue", "strata", SP)
     return trawl.withColumn("survey", F.lit("trawl")).unionByName(lls.withColumn("survey", F.lit("longline")))
 
@@ -208,9 +208,9 @@ def _(t):
     )
 
 
-@query("total_change", sql(_change("trawl_s9", "species", "biomass", "species")))
+@query("total_change", sql(_change("whole_s9", "species", "biomass", "species")))
 def _(t):
-    return cp.total_change(trawl9(t), 1997, 1999, "biomass", SP)
+    return cp.total_change(whole9(t), 1997, 1999, "biomass", SP)
 
 
 @query(
@@ -239,11 +239,11 @@ def _(t):
     sql(
         f"""SELECT species, {r('t', 'year_total', 7)}, {r('m', 'mean_total', 7)}, {r('t / nullif(m, 0)', 'ratio', 7)} FROM (
   SELECT species, max(CASE WHEN year = 1999 THEN b END) AS t, avg(b) AS m FROM (
-    SELECT species, year, coalesce(sum(biomass), 0) AS b FROM trawl_s6 WHERE contains(strata, '0_700') GROUP BY species, year)
+    SELECT species, year, coalesce(sum(biomass), 0) AS b FROM whole_s6 WHERE contains(strata, '0_700') GROUP BY species, year)
   GROUP BY species)"""
     ), digits=7)
 def _(t):
-    return cp.ratio_to_longterm_mean(trawl6(t), 1999, "biomass", "0_700", SP)
+    return cp.ratio_to_longterm_mean(whole6(t), 1999, "biomass", "0_700", SP)
 
 
 def _report_cols():

@@ -15,14 +15,23 @@ S9_CASES = ", ".join(f"max(CASE WHEN strata = '{s}' THEN t END) AS {s}" for s in
 MERGED = "CASE " + " ".join(f"WHEN strata = '{a}' THEN '{b}'" for a, b in MERGE.items()) + " END"
 
 
-def trawl9(t: Tables):
+def whole9(t: Tables):
+    """The index of all rows; ``trawl9`` and ``trawl6`` have unsurveyed areas, for the operators about gaps."""
     return ix.trawl_index(t.survey_area, S9, SP)
 
 
-def trawl6(t: Tables):
+def whole6(t: Tables):
     return ix.trawl_index(t.survey_area, S6, SP)
 
 
+def trawl9(t: Tables):
+    return ix.trawl_index(t.gap_area, S9, SP)
+
+
+def trawl6(t: Tables):
+    return ix.trawl_index(t.gap_area, S6, SP)
+
+
 def longline(t: Tables):
     return ix.longline_index(t.lls_area, REGION_AREAS, 1995, SP, area_col="mgmt_area")
 
@@ -181,10 +190,10 @@ def _(t):
 
 @query(
     "drop_years",
-    sql(f"SELECT species, year, strata, n, {r('biomass')}, {r('cv')} FROM trawl_s9 WHERE year NOT IN (1996, 2001)"),
+    sql(f"SELECT species, year, strata, n, {r('biomass')}, {r('cv')} FROM whole_s9 WHERE year NOT IN (1996, 2001)"),
 )
 def _(t):
-    return ix.drop_years(trawl9(t), [1996, 2001])
+    return ix.drop_years(whole9(t), [1996, 2001])
 
 
 @query(
@@ -202,7 +211,7 @@ SELECT tab, species, year, strata, {r('biomass', digits=7)}, {r('cpue', digits=7
     ), digits=7)
 def _(t):
     lls = t.lls_area.withColumnRenamed("mgmt_area", "council_management_area")
-    bundle = model_inputs(t.survey_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, since=1995)
+    bundle = model_inputs(t.gap_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, since=1995)
     out = None
     for name, df in bundle.items():
         df = df.drop("n").withColumn("tab", F.lit(name))

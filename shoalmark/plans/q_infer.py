@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import salted_join
 from ..functions.nulls import ratio
-from ..functions.ranking import exact_quantiles, grid_probs
+from ..functions.ranking import exact_quantiles, grid_probs, positions
 from ..functions.text import one_decimal
 from ..operators import catch as ct
 from ..operators import infer as nf
@@ -80,7 +80,7 @@ def _(t):
     sql(f"SELECT parameter, count(estimate) AS n, {r('median(estimate)', 'median')} FROM recovered GROUP BY parameter"),
 )
 def _(t):
-    return exact_quantiles(t.recovered, ["parameter"], "estimate", [0.5]).select("parameter", "n", F.col("q").alias("median"))
+    return exact_quantiles(t.recovered, ["parameter"], "estimate", [0.5], few_groups=True).select("parameter", "n", F.col("q").alias("median"))
 
 
 @query(
@@ -91,7 +91,7 @@ def _(t):
     ),
 )
 def _(t):
-    med = exact_quantiles(t.recovered, ["parameter"], "estimate", [0.5]).select("parameter", F.col("q").alias("median"))
+    med = exact_quantiles(t.recovered, ["parameter"], "estimate", [0.5], few_groups=True).select("parameter", F.col("q").alias("median"))
     return salted_join(t.recovered, med.withColumn("label", one_decimal("median", "Median=")), ["parameter"])
 
 
@@ -138,7 +138,7 @@ UNION ALL SELECT sampler, draw_id, 'log_q', V2 FROM draws"""
     ),
 )
 def _(t):
-    return exact_quantiles(t.recovered, ["parameter"], "estimate", grid_probs())
+    return exact_quantiles(t.recovered, ["parameter"], "estimate", grid_probs(), few_groups=True)
 
 
 @query(
@@ -166,6 +166,14 @@ def _(t):
     return nf.chain_index(t.draws, 3, ["sampler"])
 
 
+@query(
+    "row_positions",
+    sql("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS before FROM events"),
+)
+def _(t):
+    return positions(t.base("events").select("event_type", "event_id"), ["event_type"], "event_id")
+
+
 SUMMARY = """
 SELECT sampler, parameter, median, lower, upper, rhat FROM (
   SELECT sampler, parameter, median(value) AS median, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper

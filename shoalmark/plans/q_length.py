@@ -47,12 +47,12 @@ def _(t):
 @query(
     "length_comp_by_stratum",
     sql(
-        comp_sql("mapped", "strata", True),
-        mapped="SELECT * FROM length_freq JOIN strata_scheme ON scheme = 's9' AND area_id BETWEEN lo AND hi WHERE survey = 'F'",
+        comp_sql("mapped", "survey, strata", True),
+        mapped="SELECT * FROM length_freq JOIN strata_scheme ON scheme = 's9' AND area_id BETWEEN lo AND hi",
     ),
 )
 def _(t):
-    return ln.length_comp_by_stratum(dbl(survey(t, "F")), S9, strict=True)
+    return ln.length_comp_by_stratum(dbl(t.length_freq), S9, ["survey"], strict=True)
 
 
 @query(

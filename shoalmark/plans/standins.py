@@ -15,7 +15,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import positions
 from ..sources.lookups import StrataScheme
 
 # The stand-in stratification over part sizes.
@@ -56,6 +55,7 @@ MERGE = {
     "EA_501_700": "EA_0_700",
 }
 MODELS = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]
+SAMPLERS = ["click", "error", "purchase", "signup", "view"]
 REGION_AREAS = {"AFRICA": "AF", "AMERICA": "AM", "ASIA": "AS", "EUROPE": "EU"}
 
 
@@ -88,7 +88,7 @@ BASE = {
 
 
 class Tables:
-    """Base tables and stand-in views of one data directory; every view but ``draws`` is a lazy plan."""
+    """Base tables and stand-in views of one data directory; every view is a lazy plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -103,16 +103,11 @@ class Tables:
 
     @cached_property
     def survey_area(self) -> DataFrame:
-        year, size, price = F.year("l_shipdate"), F.col("p_size"), F.col("l_extendedprice")
+        year, price = F.year("l_shipdate"), F.col("l_extendedprice")
         n = F.count(F.lit(1))
         return (
             self.base("lineitem")
             .join(self.base("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .where(
-                ~(size.between(29, 37) & year.isin(1996, 1998))
-                & ~(size.between(38, 46) & year.isin(1996, 1997, 1998, 2000))
-                & ~((size.between(19, 28) | size.between(35, 37)) & (year == 2001))
-            )
             .groupBy(F.col("p_type").alias("species"), year.alias("year"), F.col("p_size").alias("area_id"))
             .agg((F.sum(price) / 1000).alias("_b"), (F.var_samp(price) * n / 1_000_000).alias("_v"), n.alias("n_haul"))
             .select(
@@ -127,6 +122,16 @@ class Tables:
             )
         )
 
+    @cached_property
+    def gap_area(self) -> DataFrame:
+        """``survey_area`` with years in which some areas were not surveyed, for the operators whose feature is gaps."""
+        area, year = F.col("area_id"), F.col("year")
+        return self.survey_area.where(
+            ~(area.between(29, 37) & year.isin(1996, 1998))
+            & ~(area.between(38, 46) & year.isin(1996, 1997, 1998, 2000))
+            & ~((area.between(19, 28) | area.between(35, 37)) & (year == 2001))
+        )
+
     @cached_property
     def lls_area(self) -> DataFrame:
         per_supplier = (
@@ -290,8 +295,12 @@ class Tables:
 
     @cached_property
     def draws(self) -> DataFrame:
-        """Numbered draws, one sampler per event type."""
-        ev = self.base("events").select(F.col("event_type").alias("sampler"), "event_id", "value")
-        return positions(ev, ["sampler"], "event_id").select(
-            "sampler", F.col("before").alias("draw_id"), F.when(F.col("value") > 0, F.ln("value")).alias("V1"), (F.col("value") / 100).alias("V2")
+        """Draws of five samplers, numbered from 0 as their tables are."""
+        event = F.col("event_id")
+        names = F.array(*[F.lit(s) for s in SAMPLERS])
+        return self.base("events").select(
+            F.get(names, (event % len(SAMPLERS)).cast("int")).alias("sampler"),
+            F.floor(event / len(SAMPLERS)).alias("draw_id"),
+            F.when(F.col("value") > 0, F.ln("value")).alias("V1"),
+            (F.col("value") / 100).alias("V2"),
         )

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -182,3 +183,30 @@ def test_correlation_with_awkward_labels(spark):
     df = spark.createDataFrame(rows, "strata string, year int, pred double")
     got = {(r.strata_a, r.strata_b): r["corr"] for r in nf.strata_correlation(df, ["it's `a`", "b (0-500 m)"]).collect()}
     assert got[("it's `a`", "b (0-500 m)")] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 9])[0, 1])
+
+
+def test_correlation_of_many_strata_in_blocks(spark):
+    rnd = random.Random(8)
+    strata = [f"s{i}" for i in range(500)]
+    rows = [(k, y, s, None if rnd.random() < 0.05 else rnd.gauss(0, 1)) for k in ("a", None) for y in range(12) for s in strata if rnd.random() > 0.1]
+    rows += [("a", 99, "unlisted", 1.0), ("a", 0, "unlisted", 2.0), ("a", 0, "unlisted", 3.0)]
+    df = spark.createDataFrame(rows, "model string, year int, strata string, pred double")
+    got = {(r.model, r.strata_a, r.strata_b): r.corr for r in nf.strata_correlation(df, strata, by=["model"]).collect()}
+    assert len(got) == 2 * 500 * 501 // 2
+    series = {}
+    for k, y, s, v in rows:
+        if v is not None:
+            series.setdefault((k, s), {})[y] = v
+    for (k, a, b), c in rnd.sample(sorted(got.items(), key=str), 3000):
+        x, y = series.get((k, a), {}), series.get((k, b), {})
+        years = sorted(x.keys() & y.keys())
+        u, v = [x[t] for t in years], [y[t] for t in years]
+        if len(years) < 2:
+            assert c is None
+            continue
+        mu, mv = sum(u) / len(u), sum(v) / len(v)
+        sxy, sxx, syy = (sum((p - m) * (q - n) for p, q in zip(g, h)) for g, h, m, n in ((u, v, mu, mv), (u, u, mu, mu), (v, v, mv, mv)))
+        assert c == pytest.approx(sxy / (sxx * syy) ** 0.5, abs=1e-9)
+    twice = df.unionByName(df.where("strata = 's3' AND year = 5"))
+    with pytest.raises(Exception, match="more than one row"):
+        nf.strata_correlation(twice, strata, by=["model"]).collect()

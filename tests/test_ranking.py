@@ -1,11 +1,15 @@
 """Positions and quantiles against numpy, with one group holding most of the rows."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shoalmark.functions import ranking
 from shoalmark.functions.joins import lookup, salted_join
+from shoalmark.functions.radix import with_digits
 from shoalmark.functions.ranking import exact_quantiles, grid_probs, positions
 
 
@@ -120,3 +124,55 @@ def test_buckets_follow_the_number_of_values(spark, monkeypatch):
         vals = spark.range(rows).select(F.struct(F.lit(0).alias("_all")).alias("_g"), (F.col("id") * 1.5).alias("_v"))
         sizes = [r["count"] for r in ranking._with_bucket(vals, "_v", 64).groupBy("_bucket").count().collect()]
         assert sum(sizes) == rows and max(sizes) < 4 * 64 and len(sizes) > rows / 128
+
+
+ODD = [0.0, -0.0, 1.0, -1.0, 2.0**-1074, -(2.0**-1074), 2.0**-1022, 2.0**1023, -(2.0**1023), 1.7976931348623157e308, 0.1, -0.1, 3.0, 4.0, 5.0]
+ODD += [math.nextafter(2.0**k, s * math.inf) for k in range(-60, 61, 3) for s in (1, -1)] + [2.0**k for k in range(-1074, 1024, 41)]
+
+
+def test_digits_never_fall_when_values_grow(spark):
+    rnd = random.Random(2)
+    values = ODD + [-v for v in ODD] + [rnd.gauss(0, 1) * 10 ** rnd.randint(-12, 12) for _ in range(3000)] + [1000 + i * 1e-12 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, math.inf, -math.inf, math.nan]], "v double")
+    rows = sorted(((r.v, r._d1, r._d2) for r in with_digits(df, "v").collect()), key=lambda r: (math.isnan(r[0]), r[0]))
+    keys = [r[1:] for r in rows]
+    assert keys == sorted(keys)
+    # A bin of both digits is a narrow one.
+    first, last = {}, {}
+    for v, *k in rows[1:-2]:
+        first.setdefault(tuple(k), v)
+        last[tuple(k)] = v
+    assert all(last[k] - first[k] <= 2.0**-31 * abs(last[k]) or abs(last[k]) < 1e-300 for k in first)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_radix_quantiles_equal_a_sorted_list(spark, weight):
+    rnd = random.Random(7)
+    groups = {
+        "spread": [rnd.lognormvariate(0, 8) * rnd.choice([-1, 1]) for _ in range(4000)], "narrow": [1000 + rnd.random() * 1e-9 for _ in range(3000)],
+        "one": [5.5], "two": [-1.0, 2.0], "equal": [7.25] * 900, "hot": [0.0] * 2000 + [rnd.gauss(0, 1) for _ in range(999)], None: [1.0, 2.0, 4.0],
+        "infinite": [-math.inf, -math.inf, -math.inf, 1.0, 2.0, 3.0, math.inf, math.inf, math.inf],
+    }
+    rows = [(k, v, rnd.randint(0, 3)) for k, vs in groups.items() for v in vs] + [("spread", None, 2), ("gone", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    probs = [0.0, 0.025, 0.25, 1 / 3, 0.5, 0.975, 1.0]
+    got = {(r.k, r.prob): (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", probs, weight, few_groups=True).collect()}
+    want = {}
+    for k in groups:
+        vs = sorted(v for g, v, w in rows if g == k and v is not None for _ in range(w if weight else 1))
+        for p in probs if vs else ():
+            h = p * (len(vs) - 1)
+            lo, hi = vs[math.floor(h)], vs[math.ceil(h)]
+            want[k, p] = (len(vs), lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
+    assert got.keys() == want.keys()
+    for key, (n, q) in want.items():
+        assert got[key][0] == n and (got[key][1] == pytest.approx(q, rel=1e-12) or math.isnan(q) and math.isnan(got[key][1])), key
+
+
+def test_radix_quantiles_shuffle_no_rows_and_check_their_groups(spark):
+    df = spark.range(20_000).selectExpr("id % 3 AS k", "cast(id as double) AS v")
+    out = exact_quantiles(df, ["k"], "v", [0.5], few_groups=True)
+    assert sorted(r.q for r in out.collect()) == [9999.0, 9999.0, 10000.0] or len(out.collect()) == 3
+    many = spark.range(120_000).selectExpr("id AS k", "1D AS v")
+    with pytest.raises(Exception, match="too many to broadcast"):
+        exact_quantiles(many, ["k"], "v", [0.5], few_groups=True).collect()

@@ -46,7 +46,7 @@ def final_plan(df):
 
 def test_row_level_join_splits_the_hot_key(spark, data_dir, tmp_path, small_limits):
     t = skewed_tables(spark, data_dir, str(tmp_path))
-    df = ix.trawl_index(t.survey_area, S9, ["species"])
+    df = ix.trawl_index(t.gap_area, S9, ["species"])
     plan = final_plan(df)
     assert "SortMergeJoin(skew=true)" in plan
 
@@ -87,6 +87,6 @@ def test_hot_haul_is_one_row_before_the_join(spark, small_limits):
 
 
 def test_index_reads_three_columns(spark, data_dir):
-    df = ix.trawl_index(Tables(spark, data_dir).survey_area, S9, ["species"])
+    df = ix.trawl_index(Tables(spark, data_dir).gap_area, S9, ["species"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan
