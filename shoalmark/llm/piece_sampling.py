@@ -38,6 +38,8 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts that are worked on together; memory is about 200 bytes for each, or for the longest text.
 CHUNK = 1_200_000
+#: Slots, as a power of two, for what a vocabulary holds of one length.
+SEEN_BITS = 18
 _U = np.uint64
 _STEP = _U(0x100000001B3)
 _MODELS: dict[str, Pieces] = {}
@@ -74,18 +76,29 @@ class Pieces:
         rank = np.arange(1, len(order) + 1)
         self.log_p[order] = alpha * -np.log(rank * (1.0 / rank).sum())
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: By length: slots of hashes of whole pieces (True) and of longer pieces' beginnings (False).  A slot that is
+        #: not set rules a string out at the cost of one look.
+        self.seen: dict[tuple[int, bool], np.ndarray] = {}
         for n in sorted({len(sp.id_to_piece(i)) for i in plain}):
             ids = np.array([i for i in plain if len(sp.id_to_piece(i)) == n])
             code = np.array([np.frombuffer(sp.id_to_piece(i).encode("utf-32-le"), np.uint32) for i in ids]).astype(np.uint64)
             h = _rolled(code.T)
             by = np.argsort(h)
             self.by_length[n] = h[by], ids[by]
+            for k in range(1, n + 1):
+                # Hashes of beginnings are those of the first k characters.
+                table = self.seen.setdefault((k, k == n), np.zeros(1 << SEEN_BITS, bool))
+                table[_slot(h if k == n else _rolled(code.T[:k]))] = True
         self.longest = max(self.by_length)
 
     def normalised(self, text: str) -> str:
         return self.sp.Normalize(text) if text else ""
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - SEEN_BITS)).astype(np.int64)
+
+
 def _rolled(columns) -> np.ndarray:
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
@@ -113,14 +126,22 @@ class Lattice:
                 at, h = at[stay], h[stay]
             h = (h + code[at + (k - 1)] + _U(1)) * _STEP
             h ^= h >> _U(29)
+            slot = _slot(h)
             if k in pieces.by_length and len(at):
                 keys, ids = pieces.by_length[k]
-                i = np.searchsorted(keys, h)
+                maybe = np.nonzero(pieces.seen[k, True][slot])[0]
+                i = np.searchsorted(keys, h[maybe])
                 i[i == len(keys)] = 0
-                hit = np.nonzero(keys[i] == h)[0]
-                found.append((at[hit], np.full(len(hit), k), ids[i[hit]], pieces.log_p[ids[i[hit]]]))
+                same = keys[i] == h[maybe]
+                hit, i = maybe[same], i[same]
+                found.append((at[hit], np.full(len(hit), k), ids[i], pieces.log_p[ids[i]]))
                 if k == 1:
                     bare[at[hit]] = False
+            if (k, False) not in pieces.seen:
+                break
+            # On from where some longer piece begins like this.
+            on = pieces.seen[k, False][slot]
+            at, h = at[on], h[on]
         # A character that is no piece is its UTF-8 bytes; their number stands, negative, for the piece.
         lone = np.nonzero(bare)[0]
         wide = 1 + (code[lone] >= 0x80).astype(np.int64) + (code[lone] >= 0x800) + (code[lone] >= 0x10000)
