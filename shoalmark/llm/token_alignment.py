@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Where texts may be cut for both tokenizers: a single space between two words.
 CUT = re.compile(r"(?<=[^ ]) (?=[^\s\u180e\u200b\ufeff])")
 #: Characters of texts that make a block; memory is about 60 bytes for each, or for the longest text.
-BLOCK = 3_000_000
+BLOCK = 2_500_000
 #: Characters of units that are spelled as one text, such texts in one call, and rows that are expanded at once.
 RUN, CALL, ROWS = 32_000, 6, 500_000
 #: Fields of the landed blocks: a row per document, and one with the units and pairs of the block.
@@ -155,6 +155,16 @@ def _slices(size: np.ndarray) -> Iterator[slice]:
         lo = hi
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes each that hold the largest; the first byte is that number."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 class Block:
     """Texts of a block as lists of distinct units, and what the units come to."""
 
@@ -232,21 +242,20 @@ class Block:
         self.per_unit = np.bincount(key // width, minlength=len(self.good))
 
     def _holders(self) -> None:
-        """How many documents hold each pair, and each document's distinct units with their times."""
+        """How many documents hold each pair, and all documents' units one after another."""
         units = max(1, len(self.good))
         lengths = np.array([len(d) for d in self.docs], np.int64)
         flat = np.array([u for d in self.docs for u in d], np.int64)
         self.flat, self.lengths = flat, lengths
-        held, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * units + flat, return_counts=True)
+        held = np.unique(np.repeat(np.arange(len(lengths)), lengths) * units + flat)
         doc, unit = held // units, held % units
-        self.unit, self.times = unit, times
-        self.distinct = np.bincount(doc, minlength=len(lengths))
+        distinct = np.bincount(doc, minlength=len(lengths))
         first = np.cumsum(self.per_unit) - self.per_unit
         size = self.per_unit[unit]
         width = max(1, len(self.a))
         self.n_docs = np.zeros(len(self.a), np.int64)
         # Documents are never torn, so that each counts once.
-        edge = np.concatenate([[0], np.cumsum(self.distinct)])
+        edge = np.concatenate([[0], np.cumsum(distinct)])
         rows = np.concatenate([[0], np.cumsum(size)])[edge]
         for part in _slices(np.diff(rows)):
             some = slice(edge[part.start], edge[part.stop])
@@ -257,6 +266,12 @@ class Block:
         ends = np.concatenate([[0], np.cumsum(self.lengths)])
         return [(t := np.concatenate([[0], np.cumsum(s[self.flat])]))[ends[1:]] - t[ends[:-1]] for s in self.stats]
 
+    def unit_lists(self) -> Iterator[bytes]:
+        """Each document's units in ascending order, packed as steps from one to the next."""
+        ends = np.cumsum(self.lengths)
+        for lo, hi in zip((ends - self.lengths).tolist(), ends.tolist(), strict=True):
+            yield packed(np.diff(np.sort(self.flat[lo:hi]), prepend=0))
+
     def forms(self) -> Iterator[str]:
         for codes in self.docs:
             yield "".join([self.written[c] for c in codes])[:-1]
@@ -269,9 +284,9 @@ def _list(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
 def _landed_schema(key: T.DataType) -> T.StructType:
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
     fields = [("block", T.LongType()), ("is_doc", T.BooleanType()), ("_key", key), *[(s, T.LongType()) for s in STATS]]
-    fields += [("groups_sha256", T.StringType()), ("groups", T.StringType()), ("units", ints), ("times", longs)]
+    fields += [("groups_sha256", T.StringType()), ("groups", T.StringType()), ("units", T.BinaryType())]
     # Of the row of a block: pairs by number, and the pairs of its units.
-    fields += [("a", ints), ("b", ints), ("n_docs", longs), ("sizes", ints), ("pairs", ints), ("numbers", longs)]
+    fields += [("a", ints), ("b", ints), ("n_docs", longs), *[(n, T.BinaryType()) for n in ("sizes", "pairs", "numbers")]]
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
@@ -284,15 +299,14 @@ def _rows(number: int, keys: list, block: Block, schema: pa.Schema, with_groups:
         "_key": pa.array(keys, schema.field("_key").type),
         **{name: pa.array(s, i64) for name, s in zip(STATS, block.document_sums(), strict=True)},
         "groups_sha256": pa.array([hashlib.sha256(f.encode()).hexdigest() if f else "" for f in forms]),
-        "units": _list(block.unit, block.distinct, i32),
-        "times": _list(block.times, block.distinct, i64),
+        "units": pa.array(list(block.unit_lists()), pa.binary()),
     }
     if with_groups:
         columns["groups"] = pa.array(forms)
     one = lambda v, kind: _list(v, np.array([len(v)]), kind)
     whole = {
         "block": pa.array([number], i64), "is_doc": pa.array([False]), "a": one(block.a, i32), "b": one(block.b, i32),
-        "n_docs": one(block.n_docs, i64), "sizes": one(block.per_unit, i32), "pairs": one(block.pair, i32), "numbers": one(block.number, i64),
+        "n_docs": one(block.n_docs, i64), **{name: pa.array([packed(v)], pa.binary()) for name, v in (("sizes", block.per_unit), ("pairs", block.pair), ("numbers", block.number))},
     }
     for size, given in ((n, columns), (1, whole)):
         yield pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
@@ -344,19 +358,19 @@ def _sums(key_type: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         whole = left.filter(pa.compute.invert(left["is_doc"]))
         rows = left.filter(left["is_doc"])
-        flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        sizes, pairs, numbers = (flat(whole, c).astype(np.int64) for c in ("sizes", "pairs", "numbers"))
+        sizes, pairs, numbers = (unpacked(whole[c][0].as_py()) for c in ("sizes", "pairs", "numbers"))
         place = right["place"].to_numpy()
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        units, times = flat(rows, "units").astype(np.int64), flat(rows, "times")
-        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows["units"]).to_numpy())])
+        lists = [np.cumsum(unpacked(u.as_py())) for u in rows["units"]]
+        units = np.concatenate([np.zeros(0, np.int64), *lists])
+        ends = np.concatenate([[0], np.cumsum([len(u) for u in lists])]).astype(np.int64)
         sums = []
         for name in ("is_best", "count"):
             of_pair = np.zeros(len(place), np.int64)
             of_pair[place] = right[name].to_numpy().astype(np.int64)
             of_unit = np.zeros(len(sizes), np.int64)
             np.add.at(of_unit, owner, of_pair[pairs] * numbers)
-            running = np.concatenate([[0], np.cumsum(of_unit[units] * times)])
+            running = np.concatenate([[0], np.cumsum(of_unit[units])])
             sums.append(pa.array(running[ends[1:]] - running[ends[:-1]], pa.int64()))
         columns = [rows["_key"], *[rows[s] for s in STATS], *sums, rows["groups_sha256"], rows["groups"]]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
