@@ -58,6 +58,8 @@ class Vocabulary(dict):
 
     def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
+        #: A word has a term only if one begins like it; most words are passed over here.
+        self.heads = {t.rstrip("*")[: BEGINNINGS[0]] for t in terms}
 
     def __missing__(self, word: str) -> tuple:
         if len(self) >= REMEMBERED:
@@ -67,7 +69,9 @@ class Vocabulary(dict):
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """``(term, count)`` in order of terms."""
-        found = Counter(i for ids in map(self.__getitem__, WORD.findall((text or "").lower())) if ids for i in ids)
+        heads, short = self.heads, BEGINNINGS[0]
+        likely = [w for w in WORD.findall((text or "").lower()) if w[:short] in heads]
+        found = Counter(i for ids in map(self.__getitem__, likely) for i in ids)
         return tuple(sorted(found.items()))
 
 
@@ -104,23 +108,32 @@ class Index:
         bound = weights @ self.most[ids]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        while len(order):
-            some = order[:AT_ONCE]
-            if len(score) == k and bound[some[0]] <= score[-1]:
-                break
-            # All postings of the query's terms in these blocks, one after the other.
-            slot = (ids[:, None] * self.blocks + some).ravel()
-            lo, n = self.start[slot], self.start[slot + 1] - self.start[slot]
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found, place = np.unique(self.owner[at], return_inverse=True)
-            value = np.bincount(place, self.weight[at] * np.repeat(np.repeat(weights, len(some)), n))
-            if without >= 0:
-                found, value = found[found != without], value[found != without]
-            who, score = np.concatenate((who, found)), np.concatenate((score, value))
+        # The first blocks tell what the others have to beat; those that may are looked into together.
+        some, order = order[:AT_ONCE], order[AT_ONCE:]
+        while len(some):
+            found, value = self._similarities(ids, weights, some)
+            stay = found != without
+            if len(score) == k:
+                stay &= value > score[-1]
+            who, score = np.concatenate((who, found[stay])), np.concatenate((score, value[stay]))
             best = np.argsort(-score, kind="stable")[:k]
-            who, score, order = who[best], score[best], order[AT_ONCE:]
+            who, score = who[best], score[best]
+            some, order = (order if len(score) < k else order[bound[order] > score[-1]]), order[:0]
         return who, score
 
+    def _similarities(self, ids: np.ndarray, weights: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks that share a term, blocks in their order, and their similarities."""
+        # All postings of the query's terms in these blocks, one after the other.
+        slot = (ids[:, None] * self.blocks + some).ravel()
+        lo, n = self.start[slot], self.start[slot + 1] - self.start[slot]
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shift = np.tile((np.arange(len(some)) - some) * self.block, len(ids))
+        value = np.bincount(
+            self.owner[at] + np.repeat(shift, n), self.weight[at] * np.repeat(np.repeat(weights, len(some)), n), len(some) * self.block
+        )
+        place = np.nonzero(value)[0]
+        return some[place // self.block] * self.block + place % self.block, value[place]
+
 
 def _logit(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
@@ -210,6 +223,19 @@ def _frequencies(terms: list[str]):
     return run
 
 
+def _counted(terms: list[str]):
+    """``_id, toxic`` of examples with the terms of their texts and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(terms)
+        for batch in batches:
+            found = [vocabulary.counts(t.as_py()) for t in batch.column("text")]
+            lists = [pa.array([[c[i] for c in f] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("toxic"), *lists], ["_id", "toxic", "terms", "times"])
+
+    return run
+
+
 def _scorer(model: Model, key_type: pa.DataType):
     evidence = pa.list_(pa.struct([("example", key_type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
@@ -255,9 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     terms = [r["term"] for r in best.collect()]
     df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("n")).collect()}
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    vocabulary, rows = Vocabulary(terms), []
-    for r in sample.select("_id", "toxic", "text").orderBy(F.xxhash64("_id"), "_id").toLocalIterator():  # one partition at a time
-        rows.append((r["_id"], r["toxic"], vocabulary.counts(r["text"])))
+    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+    counted = sample.select("_id", "toxic", "text").mapInArrow(
+        _counted(terms), f"_id {kinds['_id']}, toxic {kinds['toxic']}, terms array<long>, times array<long>"
+    )
+    # As many rows as the settings allow, each with the terms of the vocabulary it holds.
+    rows = [(r["_id"], r["toxic"], tuple(zip(r["terms"], r["times"]))) for r in counted.orderBy(F.xxhash64("_id"), "_id").collect()]
     stands = {label: sizes.get(label, 0) / max(used.get(label, 0), 1) for label in (0, 1)}
     labels_ = np.array([r[1] for r in rows], float)
     return Model(settings, terms, idf, [r[0] for r in rows], labels_, np.array([stands[r[1]] for r in rows]), [r[2] for r in rows])
