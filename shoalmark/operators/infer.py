@@ -317,6 +317,57 @@ def _smooth(obs: str, var: str) -> Column:
       (b, f) -> concat(b, array({back}))))""")
 
 
+#: The filter's state with first and second derivatives by the log process error (names ending in 1 and 2).  With
+#: ``v`` for the process variance, its derivatives are ``2 v`` and ``4 v``.
+_SLOPES = "x x1 x2 p p1 p2 l l1 l2".split()
+_SLOPE_START = "named_struct({})".format(", ".join(f"'{n}', CAST({'NULL' if n[0] in 'xp' else '0'} AS DOUBLE)" for n in _SLOPES))
+
+
+def _let_sql(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _slope_step(var: str) -> str:
+    """SQL of one year of the filter, carrying the derivatives; the state's size does not grow with the years."""
+    named = lambda pairs: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in pairs.items()) + ")"
+    passed = {**{n: f"s.{n}" for n in _SLOPES}, "p": f"s.p + {var}", "p1": f"s.p1 + 2 * {var}", "p2": f"s.p2 + 4 * {var}"}
+    opened = {"x": "o.y", "x1": "0D", "x2": "0D", "p": "o.r", "p1": "0D", "p2": "0D", "l": "s.l", "l1": "s.l1", "l2": "s.l2"}
+    # f: variance of the prediction, k: gain, e: error; the gain is 1 - r / f and the new variance r * k.
+    first = {"f": f"s.p + {var} + o.r", "f1": f"s.p1 + 2 * {var}", "f2": f"s.p2 + 4 * {var}", "e": "o.y - s.x"}
+    gain = {"k": "1 - o.r / q.f", "k1": "o.r * q.f1 / (q.f * q.f)", "k2": "o.r * q.f2 / (q.f * q.f) - 2 * o.r * q.f1 * q.f1 / (q.f * q.f * q.f)"}
+    updated = {
+        "x": "s.x + g.k * q.e",
+        "x1": "s.x1 + g.k1 * q.e - g.k * s.x1",
+        "x2": "s.x2 + g.k2 * q.e - 2 * g.k1 * s.x1 - g.k * s.x2",
+        "p": "o.r * g.k", "p1": "o.r * g.k1", "p2": "o.r * g.k2",
+        "l": "s.l - (ln(2 * pi() * q.f) + q.e * q.e / q.f) / 2",
+        "l1": "s.l1 - (q.f1 / q.f - 2 * q.e * s.x1 / q.f - q.e * q.e * q.f1 / (q.f * q.f)) / 2",
+        "l2": "s.l2 - (q.f2 / q.f - q.f1 * q.f1 / (q.f * q.f) + (2 * s.x1 * s.x1 - 2 * q.e * s.x2) / q.f "
+        "+ 4 * q.e * s.x1 * q.f1 / (q.f * q.f) - q.e * q.e * q.f2 / (q.f * q.f) + 2 * q.e * q.e * q.f1 * q.f1 / (q.f * q.f * q.f)) / 2",
+    }
+    seen = _let_sql(named(first), "q", _let_sql(named(gain), "g", named(updated)))
+    return f"CASE WHEN o.y IS NULL OR o.r IS NULL THEN {named(passed)} WHEN s.x IS NULL THEN {named(opened)} ELSE {seen} END"
+
+
+def newton_error(obs: str, start: str, low: float, high: float, steps: int = 8) -> Column:
+    """``struct<s, l>``: log process error of most likelihood and that likelihood, for series that share it.
+
+    ``obs`` is an array of series, ``start`` a log process error near the best one.  Newton's steps on the sum of the
+    series' likelihoods, uphill where it is not concave, at most a tenth at once and inside ``[low, high]``; the best
+    of all values tried is returned.
+    """
+    inner = f"aggregate(w, {_SLOPE_START}, (s, o) -> {_slope_step('exp(2 * b.s)')})"
+    parts = ", ".join(f"'l{n}', sum_.l{n} + one.l{n}" for n in ("", "1", "2"))
+    scored = f"aggregate(transform({obs}, w -> {inner}), named_struct('l', 0D, 'l1', 0D, 'l2', 0D), (sum_, one) -> named_struct({parts}))"
+    step = "CASE WHEN t.l2 < 0 THEN -t.l1 / t.l2 ELSE sign(t.l1) * 0.025D END"
+    moved = f"least({high!r}D, greatest({low!r}D, b.s + least(0.1D, greatest(-0.1D, {step}))))"
+    better = "b.best IS NULL OR t.l > b.best"
+    state = f"named_struct('s', {moved}, 'at', IF({better}, b.s, b.at), 'best', IF({better}, t.l, b.best))"
+    begun = f"named_struct('s', {start}, 'at', {start}, 'best', CAST(NULL AS DOUBLE))"
+    walk = f"aggregate(sequence(0, {int(steps)}), {begun}, (b, i) -> {_let_sql(scored, 't', state)}, b -> named_struct('s', b.at, 'l', b.best))"
+    return F.expr(walk)
+
+
 def smooth_index(
     index: DataFrame,
     start: int,
@@ -326,11 +377,14 @@ def smooth_index(
     by: Sequence[str] = (),
     value: str = "biomass",
     cv: str = "cv",
+    newton: int = 0,
 ) -> DataFrame:
     """Random-walk smoothing of each stratum's log index over ``start..end``.
 
     Strata of one group share a process error, chosen from ``grid`` (log scale)
-    by the summed log-likelihood; ties go to the smaller one.  Observation
+    by the summed log-likelihood; ties go to the smaller one.  With ``newton``,
+    that many steps on the likelihood's derivatives go on from there, inside the
+    ends of the grid (``newton_error``); a coarse grid is then enough.  Observation
     variance is ``ln(1 + cv^2)``.  Years without an index have no update, so
     gaps are bridged and years after the data are projected.  Columns:
     ``by..., strata, year, pred, se, pred_lci, pred_uci, ln_pe, loglik``.
@@ -375,6 +429,11 @@ def smooth_index(
     )
     best = scored.groupBy("_k").agg(F.max(F.struct("_ll", (-F.col("_s")).alias("_neg"))).alias("_b"))
     best = best.select("_k", F.col("_b._ll").alias("loglik"), (-F.col("_b._neg")).alias("_s"))
+    if newton:
+        # The strata that share a process error are a model's: their series fit in a row.
+        together = series.groupBy("_k").agg(F.collect_list("_obs").alias("_all")).join(best, "_k")
+        found = newton_error("_all", "_s", min(grid), max(grid), newton)
+        best = together.select("_k", found.alias("_f")).select("_k", F.col("_f.l").alias("loglik"), F.col("_f.s").alias("_s"))
     se = F.sqrt("_e.p")
     return (
         series.join(best, "_k")

@@ -195,11 +195,12 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
 
 
-def smoothed(source: str, keys: list[str], start: int, end: int, value: str, cv: str, prefix: str = "sm") -> dict[str, str]:
+def smoothed(source: str, keys: list[str], start: int, end: int, value: str, cv: str, prefix: str = "sm", per_unit: int = 20) -> dict[str, str]:
     """Views of the random-walk smoother over ``source(keys..., strata, year, value, cv)``; result view ``<prefix>``.
 
-    One process error per key, grid -4..0 by 0.05 on the log scale.
+    One process error per key, grid -4..0 on the log scale, by 1 / ``per_unit``.
     """
+    grid = "g * 0.05::DOUBLE - 4" if per_unit == 20 else f"g / {per_unit}::DOUBLE - 4"
     k = ", ".join([*keys, "strata"])
     kk = "".join(f"{c}, " for c in keys)
     using = ", ".join(keys)
@@ -220,9 +221,9 @@ SELECT {", ".join("b." + c for c in [*keys, "strata"])}, t.yr,
 FROM (SELECT DISTINCT {k} FROM {source}) b CROSS JOIN (SELECT unnest(range({start}, {end + 1})) AS yr) t
 LEFT JOIN {source} s ON s.year = t.yr AND {" AND ".join(f"s.{c} IS NOT DISTINCT FROM b.{c}" for c in [*keys, "strata"])}""",
         f"{prefix}_fwd": f"""
-SELECT {k}, {start - 1}::BIGINT AS yr, g * 0.05::DOUBLE - 4 AS s, exp(2 * (g * 0.05::DOUBLE - 4)) AS s2,
+SELECT {k}, {start - 1}::BIGINT AS yr, {grid} AS s, exp(2 * ({grid})) AS s2,
   NULL::DOUBLE AS x, NULL::DOUBLE AS p, 0.0::DOUBLE AS ll
-FROM (SELECT DISTINCT {k} FROM {source}) CROSS JOIN (SELECT unnest(range(0, 81)) AS g)
+FROM (SELECT DISTINCT {k} FROM {source}) CROSS JOIN (SELECT unnest(range(0, {4 * per_unit + 1})) AS g)
 UNION ALL
 SELECT {", ".join("f." + c for c in [*keys, "strata"])}, o.yr, f.s, f.s2, {step}
 FROM {prefix}_fwd f JOIN {prefix}_obs o ON o.yr = f.yr + 1 AND {eq}""",

@@ -247,6 +247,20 @@ PEELED = "SELECT p.peel, s.* FROM {source} s JOIN (SELECT unnest([1998, 1999, 20
 AHEAD = "year > peel AND year <= peel + CASE WHEN peel = 1999 THEN 1 ELSE 2 END"
 
 
+@query(
+    "smooth_error_newton",
+    sql(
+        f"SELECT species, {r('loglik', digits=3)} FROM fine_best",
+        **smoothed("trawl_s6", SP, 1994, 2003, "biomass", "cv", "fine", 1000),
+    ),
+    digits=3,
+)
+def _(t):
+    # The likelihood is flat at its top, so a fine grid and Newton's steps agree on it.
+    smooth = nf.smooth_index(trawl6(t), 1994, 2003, grid=[i / 4 - 4 for i in range(17)], by=SP, newton=12)
+    return smooth.select("species", "loglik").distinct()
+
+
 @query(
     "retrospective_peels",
     sql(

@@ -11,12 +11,13 @@ from ..operators import compare as cp
 from ..operators import spatial as sp
 from ..sources import readers as rd
 from ..sources import writers as wr
+from . import incremental as inc
 from .oracle import r, sql
 from .q_catch import REPORT, REPORT_VIEWS, STATIC, report_inputs, tidy
 from .q_compare import appo
 from .q_index import trawl9
 from .registry import query
-from .standins import MODELS
+from .standins import MODELS, S9
 
 
 @query(
@@ -133,3 +134,50 @@ def _(t):
     path = wr.sink_csv_keyed(cp.apportionment_wide(appo(t), MODELS), wr.shared_folder(t.spark))
     ddl = "year int, area string, " + ", ".join(f"{m} double" for m in MODELS)
     return rd.scan_csv(t.spark, path, ddl=ddl)
+
+
+@query(
+    "scan_landed_layouts",
+    sql(f"SELECT lat, lon, 'Target' AS species, year, gear, {r('kg')} FROM obs_points"),
+)
+def _(t):
+    # Two releases in one folder: other order, other case, one column more.
+    old = {"KG": "kg", "Year": "year", "LAT400SQKM": "lat", "LON400SQKM": "lon", "Species": "species", "GEAR": "gear", "HAULS": "id"}
+    new = {"SPECIES": "species", "LON400SQKM": "lon", "LAT400SQKM": "lat", "gear": "gear", "YEAR": "year", "kg": "kg"}
+    rows, path = t.obs_points.withColumn("species", F.lit("Target")), wr.shared_folder(t.spark)
+    for release, names in ((0, old), (1, new)):
+        part = rows.where(F.col("id") % 2 == release).select(*[F.col(c).alias(n) for n, c in names.items()])
+        wr.sink_csv(part, path, mode="append")
+    return rd.scan_landed_csv(t.spark, path)
+
+
+@query(
+    "declared_pulls",
+    sql(
+        f"""SELECT geo, year(l_shipdate) AS year, count(*) AS n, {r('sum(l_quantity)', 'weight')}, {r('max(depth)', 'deepest')}
+FROM lineitem JOIN hauls ON l_orderkey = haul WHERE performance <> 'F' GROUP BY geo, year(l_shipdate)"""
+    ),
+)
+def _(t):
+    suffix = wr.shared_folder(t.spark)[-12:]
+    catch = t.base("lineitem").select(F.col("l_orderkey").alias("haul"), "l_quantity", F.year("l_shipdate").alias("year"))
+    hauls = t.hauls.join(t.base("orders").select(F.col("o_orderkey").alias("haul"), F.year("o_orderdate").alias("year")), "haul")
+    names = [wr.declare_pull(df, f"pull_{kind}_{suffix}", "haul", 8) for kind, df in (("catch", catch), ("haul", hauls))]
+    pulled = rd.scan_pull(t.spark, names[0], ["haul", "l_quantity", "year"])
+    sites = rd.scan_pull(t.spark, names[1], ["haul", "geo", "depth"], "performance <> 'F'")
+    return pulled.join(sites.hint("merge"), "haul").groupBy("geo", "year").agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("weight"), F.max("depth").alias("deepest")
+    )
+
+
+@query("incremental_index", sql(f"SELECT species, year, strata, n, {r('biomass')}, {r('cv')} FROM trawl_s9"))
+def _(t):
+    source, store = wr.shared_folder(t.spark), wr.shared_folder(t.spark)
+    states = inc.trawl_states(S9, ["species"])
+    put = lambda rows: rows.write.mode("append").partitionBy("year").parquet(source)
+    put(t.gap_area.where(F.col("year") < 1998))
+    inc.update(t.spark, source, store, states)
+    # The next cycle: later years arrive, and only they are read.
+    put(t.gap_area.where(F.col("year") >= 1998))
+    inc.update(t.spark, source, store, states)
+    return inc.trawl_index_from(inc.current(t.spark, source, store), S9, ["species"])

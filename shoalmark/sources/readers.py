@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,21 +64,57 @@ def scan_csv(spark: SparkSession, path: str, table: str | None = None, ddl: str
     return lower_names(spark.read.csv(path, header=True, nullValue="NA", schema=declared))
 
 
-def scan_landed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Observer catch as landed: header case varies between releases, ``lat400sqkm`` is the cell latitude.
+def landed_layouts(spark: SparkSession, path: str | list[str], needed: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header line (as a tuple of lower-case names) to the files below ``path`` that have it.
 
-    Reads by name, not by position, so only the header line is inspected to
-    learn the order of the columns.  A file with another header is an error: its
-    values would land in the wrong columns.
+    A file's header is its line that names all the ``needed`` columns, in any order and case, found in one pass over
+    the lines.  A file without such a line is an error: its values would land in the wrong columns.  What comes back is
+    a name per file, as the listing of the folder has it.
+    """
+    names = F.transform(F.split(F.lower("value"), ","), lambda c: F.btrim(c, F.lit(' \t"')))
+    whole = F.size(F.array_intersect(names, F.array(*[F.lit(n) for n in needed]))) == len(set(needed))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.when(whole, names).alias("names"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.max("names").alias("names")).collect():
+        if r.names is None:
+            raise ValueError(f"no header with {sorted(needed)} in landed file {r.file}")
+        found.setdefault(tuple(r.names), []).append(unquote(r.file))
+    return found
+
+
+def scan_landed_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Observer catch as landed: header case, column order and extra columns vary between releases.
+
+    ``lat400sqkm`` is the cell latitude.  Files are grouped by their own header line and each group is read by name,
+    so a folder may hold several layouts; every group is an ordinary pruned scan.
     """
-    header = spark.read.csv(path, header=True, enforceSchema=False).columns
     types = dict(part.strip().split(" ") for part in schema("observer_catch").split(","))
-    ddl = ", ".join(f"`{c}` {types.get(c.lower(), 'string')}" for c in header)
-    df = lower_names(spark.read.csv(path, header=True, nullValue="NA", schema=ddl, enforceSchema=False))
-    missing = set(types) - set(df.columns)
-    if missing:
-        raise ValueError(f"landed file lacks {sorted(missing)}")
-    return df.select(*types).withColumnsRenamed({"lat400sqkm": "lat", "lon400sqkm": "lon"})
+    out = None
+    for names, files in sorted(landed_layouts(spark, path, list(types)).items()):
+        twice = {n for n in types if names.count(n) > 1}
+        if twice:
+            raise ValueError(f"landed files name {sorted(twice)} more than once: {sorted(files)[:3]}")
+        # Names that are not needed may repeat; only their places matter.
+        ddl = ", ".join(f"`{n}` {types[n]}" if n in types else f"`_other{i}` string" for i, n in enumerate(names))
+        part = spark.read.csv(sorted(files), header=True, nullValue="NA", schema=ddl).select(*types)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema("observer_catch"))
+    return out.withColumnsRenamed({"lat400sqkm": "lat", "lon400sqkm": "lon"})
+
+
+def scan_pull(
+    spark: SparkSession, name: str, columns: Sequence[str] | None = None, where: str | Column | None = None
+) -> DataFrame:
+    """A declared pull (``writers.declare_pull``): only the years and columns a plan needs are read.
+
+    Pulls with the same key and number of buckets are joined on the key without an exchange, and a join with a
+    filtered table of years prunes the years at run time.
+    """
+    df = lower_names(spark.table(name))
+    if where is not None:
+        df = df.where(where)
+    return df.select(*columns) if columns else df
 
 
 def scan_polygons(spark: SparkSession, path: str) -> DataFrame:

@@ -86,6 +86,18 @@ def sink_versioned(df: DataFrame, path: str, assessment: str, mode: str = "overw
     return path
 
 
+def declare_pull(df: DataFrame, name: str, key: str, buckets: int, year: str = "year", path: str | None = None) -> str:
+    """A pulled table as catalog table ``name``: a folder per year, ``buckets`` files by ``key`` in each.
+
+    Later scans read the years they need and join pulls of the same key and number of buckets without an exchange.
+    ``path`` is in shared storage; by default a fresh folder below the one the session names.
+    """
+    spread = df.repartition(buckets, key)  # as the buckets are dealt, so a year has one file per bucket
+    writer = spread.write.format("parquet").mode("overwrite").partitionBy(year).bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path or shared_folder(df.sparkSession)).saveAsTable(name)
+    return name
+
+
 def dataset_bundle(views: dict[str, DataFrame], register: bool = False) -> dict[str, DataFrame]:
     """Named set of tables for downstream steps, optionally also as temporary views."""
     if register:

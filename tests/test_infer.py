@@ -210,3 +210,31 @@ def test_correlation_of_many_strata_in_blocks(spark):
     twice = df.unionByName(df.where("strata = 's3' AND year = 5"))
     with pytest.raises(Exception, match="more than one row"):
         nf.strata_correlation(twice, strata, by=["model"]).collect()
+
+
+def test_newton_equals_a_fine_grid(spark):
+    rnd = random.Random(12)
+    series = {}
+    for model, scale in (("rough", 0.4), ("calm", 0.02), ("short", 0.1)):
+        for stratum in ("a", "b", "c"):
+            x, out = 5.0, []
+            for year in range(1990, 2002 if model != "short" else 1992):
+                x += rnd.gauss(0, scale)
+                out.append((year, None if rnd.random() < 0.25 else x + rnd.gauss(0, 0.1)))
+            series[model, stratum] = out
+    rows = [(m, s, y, None if v is None else math.exp(v), 0.1) for (m, s), vs in series.items() for y, v in vs] + [("empty", "a", 1995, None, 0.1)]
+    df = spark.createDataFrame(rows, "model string, strata string, year int, biomass double, cv double")
+    out = nf.smooth_index(df, 1990, 2003, grid=[i / 4 - 4 for i in range(17)], by=["model"], newton=12)
+    got = {r.model: (r.ln_pe, r.loglik) for r in out.select("model", "ln_pe", "loglik").distinct().collect()}
+    r2 = math.log(1 + 0.01)
+    for model in ("rough", "calm", "short"):
+        def total(s):
+            years = range(1990, 2004)
+            ys = [[dict(vs).get(t) for t in years] for (m, _), vs in series.items() if m == model]
+            return sum(kalman(y, [r2] * len(years), math.exp(2 * s))[-1] for y in ys)
+
+        tried = [-4 + i / 500 for i in range(2001)]
+        best = max(tried, key=total)
+        assert got[model][1] == pytest.approx(total(got[model][0]), abs=1e-9) and got[model][1] >= total(best) - 1e-9
+        assert abs(got[model][0] - best) <= 0.003 or abs(total(got[model][0]) - total(best)) < 1e-7
+    assert got["empty"][1] == 0.0

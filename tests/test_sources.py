@@ -2,6 +2,10 @@ import os
 
 import pytest
 
+from shoalmark.operators import index as ix
+from shoalmark.operators import length as ln
+from shoalmark.plans import incremental as inc
+from shoalmark.plans.standins import S9
 from shoalmark.sources import readers as rd
 from shoalmark.sources import writers as wr
 from shoalmark.sources.schemas import names, schema
@@ -68,11 +72,80 @@ def test_jdbc_needs_a_driver_but_builds_the_scan(spark):
     assert "driver" in str(e.value).lower()
 
 
-def test_landed_files_with_another_column_order_are_refused(spark, tmp_path):
-    names = [p.strip().split(" ")[0] for p in rd.schema("observer_catch").split(",")]
-    folder = tmp_path / "landed"
+def test_landed_files_of_several_layouts_are_read_by_name(spark, tmp_path):
+    folder = tmp_path / "landed files"
     folder.mkdir()
-    for i, cols in enumerate((names, names[::-1])):
-        (folder / f"{i}.csv").write_text(",".join(c.upper() for c in cols) + "\n" + ",".join("1" for _ in cols) + "\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        rd.scan_landed_csv(spark, str(folder)).collect()
+    (folder / "a.csv").write_text("YEAR,Species,KG,GEAR,LON400SQKM,LAT400SQKM\n2023,Cod,1.5,POT,-150.5,57.25\n")
+    (folder / "b.csv").write_text('lat400sqkm,"lon400sqkm",X,gear,X,kg,year,species\n58,-151,x,LGL,x,NA,2024,"Cod, Pacific"\n59,-152,x,NA,x,2,2024,Cod\n')
+    (folder / "c.csv").write_text("YEAR,Species,KG,GEAR,LON400SQKM,LAT400SQKM\n")
+    got = sorted(map(tuple, rd.scan_landed_csv(spark, str(folder)).select("year", "lat", "lon", "species", "gear", "kg").collect()), key=str)
+    assert got == [(2023, 57.25, -150.5, "Cod", "POT", 1.5), (2024, 58.0, -151.0, "Cod, Pacific", "LGL", None), (2024, 59.0, -152.0, "Cod", None, 2.0)]
+    (folder / "d.csv").write_text("YEAR,KG\n2023,1\n")
+    with pytest.raises(ValueError, match="no header"):
+        rd.scan_landed_csv(spark, str(folder))
+
+
+def test_declared_pulls_join_without_an_exchange(spark, tmp_path):
+    hauls = spark.range(500).selectExpr("id AS haul", "cast(2000 + id % 5 AS int) AS year", "id * 2 AS depth")
+    lengths = spark.range(3000).selectExpr("id % 500 AS haul", "cast(2000 + id % 5 AS int) AS year", "id % 90 AS length")
+    wr.declare_pull(hauls, "pull_hauls", "haul", 4, path=str(tmp_path / "h"))
+    wr.declare_pull(lengths, "pull_lengths", "haul", 4, path=str(tmp_path / "l"))
+    left = rd.scan_pull(spark, "pull_lengths", ["haul", "length"], "year = 2001")
+    both = left.join(rd.scan_pull(spark, "pull_hauls", ["haul", "depth"]).hint("merge"), "haul")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "PartitionFilters: [isnotnull(year" in plan
+    assert both.count() == 600
+    # The years come from another table: those that are not needed are not read.
+    years = spark.createDataFrame([(2003, "x"), (2004, "y")], "year int, cycle string").where("cycle = 'x'")
+    some = rd.scan_pull(spark, "pull_lengths").join(years, "year")
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower() and some.count() == 600
+    for name in ("pull_hauls", "pull_lengths"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def survey(spark, years):
+    rows = [(y, a, None if (y + a) % 7 == 0 else float(y % 10 + a), None if a == 3 else 0.5 * a, None if (y, a) == (2002, 2) else a) for y in years for a in (1, 2, 3, 9, 30, 40)]
+    return spark.createDataFrame(rows, "year int, area_id int, biomass_mt double, biomass_var double, n_haul int")
+
+
+def test_a_new_year_is_read_alone_and_equals_the_full_run(spark, tmp_path):
+    source, store = str(tmp_path / "source"), str(tmp_path / "store")
+    seen = []
+
+    def states(rows):
+        seen.append(sorted(r.year for r in rows.select("year").distinct().collect()))
+        return inc.trawl_states(S9)(rows)
+
+    def put(df, mode="append"):
+        df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(source)
+
+    def same(years):
+        got = inc.trawl_index_from(inc.current(spark, source, store), S9).collect()
+        want = ix.trawl_index(survey(spark, years), S9).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+    put(survey(spark, [2000, 2001]))
+    assert inc.update(spark, source, store, states) == [2000, 2001]
+    same([2000, 2001])
+    put(survey(spark, [2002]))
+    with pytest.raises(Exception, match="(?i)stale|nothing"):
+        put(survey(spark, [2001]).limit(2), "overwrite")
+        inc.current(spark, source, store).collect()
+    put(survey(spark, [2001]), "overwrite")
+    assert inc.update(spark, source, store, states) == [2001, 2002]
+    same([2000, 2001, 2002])
+    assert inc.update(spark, source, store, states) == [] and seen == [[2000, 2001], [2001, 2002]]
+    # A year leaves the source.
+    survey(spark, [2001, 2002]).write.mode("overwrite").partitionBy("year").parquet(source)
+    assert inc.update(spark, source, store, states) == [2001, 2002]
+    same([2001, 2002])
+
+
+def test_length_states_equal_the_full_run(spark, tmp_path):
+    source, store = str(tmp_path / "source"), str(tmp_path / "store")
+    rows = spark.range(400).selectExpr("cast(2000 + id % 3 AS int) AS year", "'a' AS survey", "cast(id % 11 AS double) AS length", "IF(id % 13 = 0, NULL, cast(id % 5 AS double)) AS freq")
+    rows.write.partitionBy("year").parquet(source)
+    assert inc.update(spark, source, store, inc.length_states(["survey"])) == [2000, 2001, 2002]
+    got = inc.length_comp_from(inc.current(spark, source, store), ["survey"]).collect()
+    want = ln.length_comp_by_year(rows, ["survey"]).select(*got[0].asDict()).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
