@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, long_sum, tokens
+from .common import WORD, fresh, let, long_sum, tokens
 
 SYMBOL = r"[#*$%&|<>]"
-#: What a line of prose ends with, closing quotes and brackets included.
-ENDS_WELL = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+#: What a line of prose ends with, and the quotes and brackets that may follow.
+ENDS = ".!?:;…。！？"
+CLOSING = "\"'”’»)]"
 #: A word that shouts or is dressed up: several marks or symbols at its end.
 DRESSED = r"(?:!{2,}|\?{2,}|[#*$%&|<>]{2,})(?=[\x20\x09-\x0D]|$)"
 #: Separators of link lists.
@@ -27,8 +28,6 @@ NAVIGATION = (
     r"(?i)^\W*(home|menu|log ?in|log ?out|sign ?(in|up)|next|previous|back to top|share|tweet|contact( us)?|about( us)?"
     r"|site ?map|search|read more|skip to content)\W*$"
 )
-#: Bytes of the longest line that can be a single link.
-LONGEST_LINK = 64
 BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|uses? cookies|enable javascript"
     r"|lorem ipsum|click here to|subscribe to our|licensed under the|copyright (\(c\)|©))"
@@ -57,13 +56,13 @@ def hints(text: Column) -> Column:
 def line_fails(line: Column, hint: Column, max_dressed: float = 0.3, max_separators: int = 3) -> Column:
     """Name of the first rule a line breaks, null for a good line."""
     words = F.greatest(F.regexp_count(line, F.lit(WORD)), F.lit(1))
-    end = F.right(F.rtrim(line, F.lit(" \t\r\x0b\x0c")), F.lit(12))
+    end = F.right(F.rtrim(F.rtrim(line, F.lit(" \t\r\x0b\x0c")), F.lit(CLOSING)), F.lit(1))
     return (
         F.when(hint["dressed"] & (F.regexp_count(line, F.lit(DRESSED)) > max_dressed * words), "punctuation")
         .when(hint["separators"] & (F.regexp_count(line, F.lit(SEPARATOR)) >= max_separators), "navigation")
-        .when((F.octet_length(line) <= LONGEST_LINK) & line.rlike(NAVIGATION), "navigation")
+        .when(line.rlike(NAVIGATION), "navigation")
         .when(hint["boilerplate"] & line.rlike(BOILERPLATE), "boilerplate")
-        .when(~end.rlike(ENDS_WELL), "punctuation")
+        .when(~end.isin(list(ENDS)), "punctuation")
     )
 
 
@@ -140,22 +139,23 @@ def clean(
     names = (
         "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_lines_removed lost_chars clean_text kept"
     ).split()
-    n_words, n_repeat = F.col("_f.n_words"), F.col("_f.n_repeat_words")
+    f, v = fresh(docs, "_f", "_v")
+    n_words, n_repeat = F.col(f"{f}.n_words"), F.col(f"{f}.n_repeat_words")
     failed = (n_words < min_words) | (100 * n_repeat > max_repeat_percent * n_words)
     return (
-        docs.withColumn("_f", figures)
-        .withColumn("_v", verdict)
+        docs.withColumn(f, figures)
+        .withColumn(v, verdict)
         .select(
             *[F.col(f"`{c}`") for c in docs.columns if c not in names],
             n_words.alias("n_words"),
-            F.col("_f.word_chars").alias("word_chars"),
-            F.col("_v.symbols").alias("n_symbols"),
-            F.col("_v.dup").alias("n_dup_lines"),
+            F.col(f"{f}.word_chars").alias("word_chars"),
+            F.col(f"{v}.symbols").alias("n_symbols"),
+            F.col(f"{v}.dup").alias("n_dup_lines"),
             n_repeat.alias("n_repeat_words"),
             failed.alias("base_failed"),
-            F.col("_v.removed").alias("n_lines_removed"),
-            F.col("_v.lost").alias("lost_chars"),
-            F.col("_v.rest").alias("clean_text"),
-            (~failed & (F.col("_v.lost") <= max_lost * F.col("_v.all"))).alias("kept"),
+            F.col(f"{v}.removed").alias("n_lines_removed"),
+            F.col(f"{v}.lost").alias("lost_chars"),
+            F.col(f"{v}.rest").alias("clean_text"),
+            (~failed & (F.col(f"{v}.lost") <= max_lost * F.col(f"{v}.all"))).alias("kept"),
         )
     )

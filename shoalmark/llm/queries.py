@@ -58,7 +58,7 @@ f AS (
   SELECT doc_id, line, n,
     len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '(!!|\?\?|[#*$%&|<>]{2})$'))) > 0.3 * nw
     OR len(regexp_extract_all(line, '[|\x{00bb}\x{203a}\x{2022}\x{00b7}]')) >= 3
-    OR strlen(line) <= 64 AND regexp_matches(line, '(?i)^[^0-9A-Za-z_]*(home|menu|log ?in|log ?out|sign ?(in|up)|next|previous|back to top|share|tweet|contact( us)?|about( us)?|site ?map|search|read more|skip to content)[^0-9A-Za-z_]*$')
+    OR regexp_matches(line, '(?i)^[^0-9A-Za-z_]*(home|menu|log ?in|log ?out|sign ?(in|up)|next|previous|back to top|share|tweet|contact( us)?|about( us)?|site ?map|search|read more|skip to content)[^0-9A-Za-z_]*$')
     OR regexp_matches(line, '(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|uses? cookies|enable javascript|lorem ipsum|click here to|subscribe to our|licensed under the|copyright (\(c\)|\x{00a9}))')
     OR NOT regexp_matches(line, '[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}]["''\x{201d}\x{2019}\x{00bb})\]]*[\x20\x09-\x0D]*$') AS bad
   FROM l

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, shared_dir
+from .common import fresh, importable, shared_dir
 
 SCHEMA = "tokenizer string, content binary, n_bytes long, n_tokens long"
 #: Where a text may be cut without changing its tokens, see ``Counter``.
@@ -129,28 +129,30 @@ def count(docs: DataFrame, cache: str, tokenizer: str, text: str = "text", limit
     spark, key = docs.sparkSession, version(tokenizer)
     importable(spark)
 
+    own, hit = fresh(docs, "_content", "_hit")
+
     def known() -> DataFrame:
         rows = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == key)
         # Two writers may have counted the same content.
-        return rows.groupBy(F.col("content").alias("_hit")).agg(F.max("n_tokens").alias("n_tokens"))
+        return rows.groupBy(F.col("content").alias(hit)).agg(F.max("n_tokens").alias("n_tokens"))
 
     body = normalised(F.col(f"`{text}`"))
     missing = (
         docs.select(digest(F.col(f"`{text}`")).alias("content"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("_text"))
         .groupBy("content")
         .agg(F.first("n_bytes").alias("n_bytes"), F.first("_text").alias("_text"))
-        .join(known(), F.col("content") == F.col("_hit"), "left_anti")
+        .join(known(), F.col("content") == F.col(hit), "left_anti")
     )
     new = missing.mapInArrow(_encoder(key, tokenizer), "content binary, n_bytes long, n_tokens long")
     new.select(F.lit(key).alias("tokenizer"), "content", "n_bytes", "n_tokens").write.mode("append").parquet(cache)
     added = ["n_bytes", "n_tokens", "over_limit"]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in [*added, text]],
-        digest(F.col(f"`{text}`")).alias("_content"),
+        digest(F.col(f"`{text}`")).alias(own),
         F.octet_length(body).cast("long").alias("n_bytes"),
     )
     return (
-        rows.join(known(), F.col("_content") == F.col("_hit"), "left")
-        .drop("_content", "_hit")
+        rows.join(known(), F.col(own) == F.col(hit), "left")
+        .drop(own, hit)
         .withColumn("over_limit", F.col("n_tokens") > limit)
     )
