@@ -142,7 +142,7 @@ def test_registered_query(spark, name):
     if name not in queries.ORACLE:
         return
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(DATA, t)}.parquet'")
     cur = con.execute(queries.ORACLE[name])
     cols = [c[0] for c in cur.description]
