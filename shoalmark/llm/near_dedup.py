@@ -12,8 +12,10 @@
    below the threshold go, the others are verified on their full shingle sets.
 4. Where a bucket is still in several components, the members outside its
    largest one are compared with the rest in blocks, first for their best
-   partners, then for all that the estimate leaves, so a link missed by the
-   pivots is found.
+   partners, then for all that are left, so a link missed by the pivots is
+   found.  Parities of the shingle sets bound the similarity of a pair from
+   above, so members that are nearly similar enough, of which a large group
+   has very many pairs, are told apart without becoming rows.
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ MARGIN = 0.14
 BLOCK = 1024
 #: Bucket members of a task.
 MEMBERS = 100_000
-#: Pairs of registers that are compared at once.
-PAIRS_AT_ONCE = 50_000
-SKETCH = "_row binary, node binary, n long, bands array<long>"
+#: Pairs of registers, and words of parity, that are compared at once.
+PAIRS_AT_ONCE, WORDS_AT_ONCE = 50_000, 2_000_000
+#: Bits of parity: four a shingle, rounded up to a power of two, within these bounds.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
+SKETCH = "_row binary, node binary, n long, bands array<long>, parity binary"
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -96,6 +100,40 @@ def likeliest(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits, packed in 64-bit words: whether an odd number of a set's elements falls on a place.
+
+    Places where two sets differ are at most as many as the elements that only one of them has.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((sh.mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Parity as it would be with ``size`` words only."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def differing(parities: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the elements that only one set of each pair ``x, y`` has."""
+    size = np.array([len(p) for p in parities])
+    common = np.minimum(size[x], size[y])
+    least = np.zeros(len(x), np.int64)
+    for words in np.unique(common):
+        at = np.nonzero(common == words)[0]
+        used, place = np.unique(np.concatenate((x[at], y[at])), return_inverse=True)
+        table = np.stack([folded(parities[i], int(words)) for i in used])
+        step = max(1, WORDS_AT_ONCE // int(words))
+        for lo in range(0, len(at), step):
+            hi = min(lo + step, len(at))
+            left, right = table[place[lo:hi]], table[place[len(at) + lo : len(at) + hi]]
+            least[at[lo:hi]] = np.bitwise_count(left ^ right).sum(1)
+    return least
+
+
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sh.WordHashes()
@@ -111,9 +149,10 @@ def _sketches(width: int):
             flat = values[[i for i in filled]].ravel() if filled else np.empty(0, np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()) if len(flat) else empty)
+            odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.binary()), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists],
-                ["_row", "node", "n", "bands"],
+                [pa.array(rows, pa.binary()), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists, odd],
+                ["_row", "node", "n", "bands", "parity"],
             )
 
         for batch in batches:
@@ -182,21 +221,25 @@ def _best_of(stray: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
     return order[rank < best]
 
 
-def _strays(threshold: float, best: int):
+def _strays(percent: int, best: int):
     """Likely pairs of a stray and a member of another component; with ``best``, that many for each stray of a group.
 
-    Rows come ordered by group: a block of strays and a block of members of one bucket.
+    Rows come ordered by group: a block of strays and a block of members of one bucket.  A pair that meets in several
+    buckets is made in that of its first band.
     """
     group = ["band", "value", "i", "j"]
+    threshold = percent / 100
 
     def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         n = rows.num_rows
         keys = np.stack([np.asarray(rows[c]) for c in group])
         starts = np.concatenate(([0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [n]))
         registers = _registers(rows["bands"].combine_chunks(), n)
+        bands = registers.view("<i8")
+        parities = [np.frombuffer(p, "<u8") for p in rows["parity"].to_pylist()]
         root = np.asarray(rows["root"].combine_chunks().dictionary_encode().indices)
         size, stray = np.asarray(rows["n"], float), np.asarray(rows["stray"])
-        found = [[], [], []]
+        found = [[], []]
         for lo, hi in zip(starts[:-1], starts[1:]):
             inside = np.arange(lo, hi)
             s, t = inside[stray[lo:hi]], inside[~stray[lo:hi]]
@@ -206,9 +249,14 @@ def _strays(threshold: float, best: int):
                 x, y = x[ok], y[ok]
                 # Equal registers are at least as frequent as shared shingles.
                 ok = (registers[x] == registers[y]).sum(1) >= (threshold - 2 * MARGIN) * REGISTERS
+                x, y = x[ok], y[ok]
+                ok = (bands[x] == bands[y]).argmax(1) == keys[0, lo]
+                x, y = x[ok], y[ok]
+                # What both have and what only one has add up to both sizes.
+                ok = (100 - percent) * (size[x] + size[y]) >= (100 + percent) * differing(parities, x, y)
                 found[0].append(x[ok])
                 found[1].append(y[ok])
-        x, y = (np.concatenate(f) if f else np.empty(0, np.int64) for f in found[:2])
+        x, y = (np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
         j = likeliest(registers[x], registers[y], size[x], size[y])
         ok = j >= threshold - MARGIN
         x, y, j = x[ok], y[ok], j[ok]
@@ -248,7 +296,7 @@ class _Corpus:
         self.rows = docs.select(_row(text).alias("_row"), F.col(f"`{text}`").alias("_text"))
         found = land(self.rows.mapInArrow(_sketches(width), SKETCH))
         self.sketches = found
-        classes = found.where("n > 0").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        classes = found.where("n > 0").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
         self.classes = land(classes)
 
     def texts(self, pairs: DataFrame) -> DataFrame:
@@ -307,10 +355,10 @@ def _left_over(corpus: _Corpus, crowded: DataFrame, roots: DataFrame, best: int)
     up_to = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     strays = open_.where("root <> main").withColumn("i", place(F.col("sb"))).withColumn("j", up_to("mb")).withColumn("stray", F.lit(True))
     members = open_.withColumn("j", place(F.col("mb"))).withColumn("i", up_to("sb")).withColumn("stray", F.lit(False))
-    both = strays.unionByName(members).join(corpus.classes.select("node", "bands"), "node")
-    work = both.select("band", "value", "i", "j", "node", "n", "root", "bands", "stray").repartition("band", "value", "i", "j")
+    both = strays.unionByName(members).join(corpus.classes.select("node", "bands", "parity"), "node")
+    work = both.select("band", "value", "i", "j", "node", "n", "root", "bands", "parity", "stray").repartition("band", "value", "i", "j")
     ordered = work.sortWithinPartitions("band", "value", "i", "j")
-    return ordered.mapInArrow(_strays(corpus.threshold, best), "a binary, b binary").distinct()
+    return ordered.mapInArrow(_strays(corpus.percent, best), "a binary, b binary").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = sh.WIDTH) -> DataFrame:

@@ -81,6 +81,41 @@ def test_sketches_merge_and_estimate():
     assert abs(j - 0.6) < 0.15
 
 
+def test_parity_bounds_what_two_sets_share():
+    rnd = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n in (1, 3, 40, 300, 5000, 40_000):
+        for changed in (0, 1, n // 12, n // 6, n):
+            base = rnd.integers(0, 2**63, n).astype(np.uint64)
+            other = np.concatenate((base[: max(0, n - changed)], rnd.integers(0, 2**63, changed + n // 5).astype(np.uint64)))
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [base, other]
+    parities = [near_dedup.parity(s) for s in sets]
+    x, y = np.array(pairs).T
+    got = near_dedup.differing(parities, x, y)
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
+    assert (got <= real).all() and (got[real == 0] == 0).all()
+    # As near to it as the threshold needs: similar sizes, and not so many shingles that every place is taken.
+    near = np.array([20 < len(sets[i]) <= 5000 for i in x]) & (real < 0.25 * np.array([len(sets[i]) + len(sets[j]) for i, j in pairs]))
+    assert near.sum() >= 6 and (got[near] >= 0.85 * real[near]).all()
+
+
+def test_group_of_nearly_similar_texts(spark):
+    """Many texts just below the threshold to a group of copies, a few just above it."""
+    rnd = random.Random(8)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for k in range(240):
+        words = list(base)
+        for at in rnd.sample(range(0, 200, 5), rnd.choice([0, 1, 2, 3, 5, 6, 7, 8, 9])):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [decontaminate.exact(sh.words(t.encode()), 5) for t in texts]
+    links = [(i, j) for i in range(240) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = groups(range(240), links)
+    assert 1 < len(set(want.values())) and got == want
+
+
 def test_leaks_against_all_shingles(spark):
     rnd = random.Random(4)
     vocabulary = [f"v{i}" for i in range(2000)]
