@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import compare as cp
+from .cycle import cycle_reports
 from .oracle import r, sql
 from .q_index import longline, whole6, whole9
 from .registry import query
@@ -273,3 +274,73 @@ def _(t):
     ), digits=7)
 def _(t):
     return cp.total_report(cp.total_prediction(t.fit_by_strata), MODELS)
+
+
+def _long_sql(report, source, who, area, year, *values):
+    """Rows of one report by measure, as ``unpivot`` makes them."""
+    return " UNION ALL ".join(
+        f"SELECT '{report}' AS report, {who} AS who, {area} AS area, {year} AS year, '{name}' AS measure, {r(expr, 'value', 7)} FROM {source}"
+        for name, expr in values
+    )
+
+
+def _ratio_sql(source, value, where="true"):
+    return f"""(SELECT species, max(CASE WHEN year = 1999 THEN b END) AS t, avg(b) AS m FROM (
+  SELECT species, year, coalesce(sum({value}), 0) AS b FROM {source} WHERE {where} GROUP BY species, year) GROUP BY species)"""
+
+
+CHANGE = [("v0", "v0"), ("v1", "v1"), ("frac_change", "(v1 - v0) / nullif(v0, 0)")]
+TO_MEAN = [("year_total", "t"), ("mean_total", "m"), ("ratio", "t / nullif(m, 0)")]
+SPEC = [("biomass", "total_biomass"), ("ofl", "0.03 * total_biomass"), ("max_abc", "0.0225 * total_biomass"), ("abc", "0.0225 * total_biomass")]
+
+
+def _sums_sql(source, by, value, strict=False):
+    """Two years side by side."""
+    out = []
+    for y in (1997, 1999):
+        here = f"CASE WHEN year = {y} THEN {value} END"
+        n = f"count(CASE WHEN year = {y} THEN 1 END)"
+        full = f"{n} = count({here})" if strict else "true"
+        out.append(f"CASE WHEN {n} > 0 AND {full} THEN coalesce(sum({here}), 0) END AS v{len(out)}")
+    return f"(SELECT {by}, {', '.join(out)} FROM {source} WHERE year IN (1997, 1999) GROUP BY {by})"
+
+
+def _cycle_sql():
+    six = f"(SELECT *, {AREA_SQL} AS area FROM whole_s6)"
+    per_area = "(SELECT model_name, year, area, coalesce(sum(pred), 0) AS p, coalesce(sum(pred_lci), 0) AS l, coalesce(sum(pred_uci), 0) AS u FROM fit_by_strata GROUP BY ALL)"
+    pivot = [(f"{a}{x}", f"round_even(max(CASE WHEN area = '{a}' THEN {c} END), 0)") for a in ORDER for x, c in (("", "p"), ("_lci", "l"), ("_uci", "u"))]
+    grouped = f"(SELECT model_name, year, {', '.join(f'{e} AS {n}' for n, e in pivot)} FROM {per_area} GROUP BY model_name, year)"
+    wide = f"(SELECT area, year, {model_columns('proportion', 12)} FROM apportioned GROUP BY area, year)"
+    spec = "(SELECT DISTINCT model_name, year, total_biomass FROM apportioned WHERE year = 2000)"
+    parts = [
+        ("apportionment", "apportioned", "model_name", "area", "year", *[(c, c) for c in ("stratum_biomass", "total_biomass", "proportion")]),
+        ("apportionment_wide", wide, "NULL", "area", "year", *[(m, m) for m in MODELS]),
+        ("harvest_spec", spec, "model_name", "NULL", "year", *SPEC),
+        ("strata_report", grouped, "model_name", "NULL", "year", *[(n, n) for n, _ in pivot]),
+        ("total_report", "fit_total", "model_name", "NULL", "year", ("total", "round_even(pred, 0)"), ("lci", "round_even(pred_lci, 0)"), ("uci", "round_even(pred_uci, 0)")),
+        ("trawl_area_change", _sums_sql(six, "species, area", "biomass"), "species", "area", "NULL", *CHANGE),
+        ("trawl_total_change", _sums_sql(six, "species", "biomass"), "species", "NULL", "NULL", *CHANGE),
+        ("trawl_to_mean", _ratio_sql(six, "biomass", "contains(strata, '0_700')"), "species", "NULL", "NULL", *TO_MEAN),
+        ("longline_area_change", _sums_sql("(SELECT *, strata AS area FROM longline)", "species, area", "cpue"), "species", "area", "NULL", *CHANGE),
+        ("longline_total_change", _sums_sql("longline", "species", "cpue", True), "species", "NULL", "NULL", *CHANGE),
+        ("longline_to_mean", _ratio_sql("longline", "cpue"), "species", "NULL", "NULL", *TO_MEAN),
+        ("change_from_prior", "(SELECT * FROM fit_total WHERE year = 1999)", "model_name", "NULL", "year", ("pred", "pred"), ("frac_change", "(pred - 59459) / 59459")),
+    ]
+    return " UNION ALL ".join(_long_sql(*p) for p in parts)
+
+
+@query("cycle_reports", sql(_cycle_sql()), digits=7)
+def _(t):
+    fits = t.fit_by_strata
+    reports = cycle_reports(
+        fits, cp.total_prediction(fits), whole6(t), longline(t), MODELS, ORDER, area(), (1997, 1999), 2000, prior=59459, by=SP
+    )
+    reports["apportionment"] = reports["apportionment"].drop("ord")
+    reports["total_report"] = reports["total_report"].drop("pred", "pred_lci", "pred_uci")
+    keys, out = {"model_name": "who", "species": "who", "area": "area", "year": "year"}, None
+    for name, df in reports.items():
+        ids = [c for c in df.columns if c in keys]
+        rows = df.unpivot(ids, [c for c in df.columns if c not in keys], "measure", "value").withColumnsRenamed(keys)
+        rows = rows.withColumn("report", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("report", "who", "area", "year", "measure", "value")

@@ -205,13 +205,14 @@ SELECT tab, species, year, strata, {r('biomass', digits=7)}, {r('cpue', digits=7
   UNION ALL SELECT 'biomass_dat_3strat_impute', species, year, strata, biomass, NULL, cv FROM imputed_s9 WHERE year < 2000
   UNION ALL SELECT 'biomass_dat_2strat', species, year, strata, biomass, NULL, cv FROM trawl_s6
   UNION ALL SELECT 'biomass_dat_2strat_impute', species, year, strata, biomass, NULL, cv FROM spliced
-  UNION ALL SELECT 'cpue_dat', species, year, strata, NULL, cpue, cv FROM longline)""",
+  UNION ALL SELECT 'cpue_dat', species, year, strata, NULL, cpue, cv FROM longline
+  UNION ALL SELECT 'model_yrs', NULL, year, NULL, NULL, NULL, NULL FROM (SELECT unnest(range(1992, 2002)) AS year))""",
         combined=COMBINED % "imputed_s9",
         spliced=SPLICED,
     ), digits=7)
 def _(t):
     lls = t.lls_area.withColumnRenamed("mgmt_area", "council_management_area")
-    bundle = model_inputs(t.gap_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, since=1995)
+    bundle = model_inputs(t.gap_area, lls, 2000, S9, S6, MERGE, FILLS, REGION_AREAS, by=SP, since=1995, years=(1992, 2001))
     out = None
     for name, df in bundle.items():
         df = df.drop("n").withColumn("tab", F.lit(name))

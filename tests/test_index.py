@@ -159,7 +159,9 @@ def test_model_inputs_bundle(spark, biom):
         "biomass_dat_2strat",
         "biomass_dat_2strat_impute",
         "cpue_dat",
+        "model_yrs",
     ]
+    assert [r.year for r in model_inputs(biom, lls, years=(2023, 2026))["model_yrs"].orderBy("year").collect()] == [2023, 2024, 2025, 2026]
     got = cells(tables["biomass_dat_2strat_impute"], "biomass")
     assert got[(2025, "WGOA_0_700")] == (7.0,)  # raw from the redesign year on
     assert got[(1990, "WGOA_0_700")] == (158.0,)  # 150 + the 501-700 mean of 8
