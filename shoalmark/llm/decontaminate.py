@@ -3,15 +3,15 @@
 Items are partitioned by the number of their shingles, in powers of two.  For a
 partition of up to L shingles a document is seen as windows of two adjacent
 blocks of L positions, so whatever an item left in it, up to L positions long,
-lies within one window that is at most four times the item's size (for the
-smallest partition: eight positions).  Item and window then resemble each other
+lies within one window that is at most four times the item's size, for items of
+one shingle as for long ones.  Item and window then resemble each other
 enough for plain MinHash: a window that shares one of the item's minima, in the
 same permutation, makes the document a candidate.  Candidates are verified on
 the exact shingles of the whole document, wherever they stand.
 
 Items are the query set and are taken in blocks of bounded size; each block
-passes over the documents once, in the tasks that scan them.  Nothing is
-shuffled.
+passes over the documents once, in the tasks that scan them.  Documents are not
+shuffled; items are, to put repeated rows together.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .common import importable
 #: Permutations.  An item three quarters of which stand together shares at least about a fifth of a window's union, and
 #: is then missed with a chance below one in a million.
 PERMUTATIONS = 64
-#: Smallest partition: items of up to this many shingles.
-SMALLEST = 8
 #: UTF-8 bytes of the items of a block, and shingles of documents that are searched together.
 ITEM_BYTES, CHUNK = 4_000_000, 400_000
 _U = np.uint64
@@ -51,7 +49,7 @@ class Index:
             tokens = sh.words(text.encode() if isinstance(text, str) else text)
             h = sh.distinct(sh.shingle_hashes(tokens, known, width))
             if len(h):
-                level = max(SMALLEST, 1 << (len(h) - 1).bit_length())
+                level = 1 << (len(h) - 1).bit_length()
                 by_level.setdefault(level, []).append((len(self.ids), h))
                 self.ids.append(item)
                 self.sets.append(exact(tokens, width))
@@ -126,12 +124,14 @@ def exact(tokens: list[bytes], width: int) -> set[tuple]:
     return {tuple(tokens[i : i + w]) for i in range(len(tokens) - w + 1)} if w else set()
 
 
-def _item_blocks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
+def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
+    """Blocks of ``((item, times), text)``: repeated rows are one, and items that share a text fall into many blocks."""
     rows = items.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
+    rows = rows.groupBy("k", "t").agg(F.count(F.lit(1)).alias("times"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))
     for b in range(n):  # one bounded block on the driver at a time
-        yield [(r["k"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b).collect()]
+        yield [((r["k"], r["times"]), r["t"]) for r in rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b).collect()]
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
@@ -143,8 +143,9 @@ def _finder(index: Index, item_type: pa.DataType):
         for batch in batches:
             at, found = [], []
             for i, hits in enumerate(index.hits(_texts(batch, "_text"))):
-                at += [i] * len(hits)
-                found += hits
+                for (item, times), n, k in hits:
+                    at += [i] * times
+                    found += [(item, n, k)] * times
             item, n, k = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_key").take(pa.array(at, pa.int64())), pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(k, pa.int64())],

@@ -142,6 +142,28 @@ def test_leaks_against_all_shingles(spark):
     assert decontaminate.search(d, t.where("false")).count() == 0 and decontaminate.search(d.where("false"), t).count() == 0
 
 
+def test_short_items_are_not_missed(spark, monkeypatch):
+    """Items of few shingles inside long documents, most of them under one text, in many blocks."""
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    shared = " ".join(rnd.choices(vocabulary, k=6))
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.choice([5, 6, 7, 8])))) for i in range(300)]
+    items += [(1000 + i, shared) for i in range(200)] + [(1000, shared), (None, shared)]
+    docs = [(-1, " ".join(rnd.choices(vocabulary, k=50) + shared.split()))]
+    for i, part in items[:300]:
+        words = rnd.choices(vocabulary, k=300)
+        docs.append((i, " ".join(words[:140] + part.split() + words[140:])))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 4000)
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._item_blocks(t, "item_id", "text"))
+    assert len(blocks) > 3 and all(sum(len(x) for _, x in b) < 3 * 4000 for b in blocks)
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.search(d, t).collect())
+    want = collections.Counter({(i, i): 1 for i in range(300)})
+    want.update((-1, i) for i, x in items if x == shared)
+    assert got == want and want[-1, 1000] == 2
+    assert decontaminate.clean(d, t).isEmpty()
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
