@@ -8,7 +8,7 @@ under its largest page id; the others are revisit records.
 Index: captures are ordered by reversed-host URL key across all tasks, cut into
 blocks of some hundred lines, each compressed by itself, with a sparse
 directory of the blocks' first keys behind them.  The top level is one row per
-index part - the number of parts is a parameter.  A look-up finds the part, the
+index part - their number follows the captures.  A look-up finds the part, the
 block and the line by three binary searches and then reads just the byte range
 of the record.
 
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import importable, land, shared_dir
 
+#: Parts of an index at least, and captures of a part.
+PARTS, PART_CAPTURES = 24, 50_000
 #: Lines of an index block.
 BLOCK_LINES = 256
 #: Archives a reading task keeps open.
@@ -205,9 +207,12 @@ def _indexer(folder: str):
     return run
 
 
-def write(pages: DataFrame, parts: int = 24) -> Archive:
+def write(pages: DataFrame, parts: int = PARTS, captures_per_part: int = PART_CAPTURES) -> Archive:
     """Write a record per row of ``pages`` (``page_id, url, html``; other columns are ignored) and index them.
 
+    The index has ``parts`` parts at least, and more where one would hold more than ``captures_per_part`` captures, so
+    what a reader unpacks of a directory does not grow with the archive.
+
     A missing ``html`` is an empty payload.  A missing ``page_id`` never holds a payload others refer to unless all its
     copies lack an id; rows that repeat the largest id of a payload are all responses.  No rows: no files.
     """
@@ -216,6 +221,7 @@ def write(pages: DataFrame, parts: int = 24) -> Archive:
     folder = shared_dir(spark)
     # Landed, so that the index sees the files of exactly one attempt per task.
     captures = land(plan(pages).mapInArrow(_writer(folder), RAW))
+    parts = max(parts, -(-captures.count() // captures_per_part))
     ordered = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     schema = "file string, first_key string, first_page long, directory_at long"
     made = ordered.mapInArrow(_indexer(folder), schema)
@@ -312,7 +318,7 @@ def read(archive: Archive, wanted: DataFrame, payload: bool = False) -> DataFram
     size (and payload) of a revisit is that of the response it refers to.  An unknown key is an error.
     """
     spark = archive.spark
-    # One row per index part: as many as the parameter of ``write`` says.
+    # One row per index part, see ``write``.
     parts = [
         ([r["first_key"], r["first_page"]], r["file"], r["directory_at"]) for r in spark.read.parquet(archive.parts).collect()
     ]
