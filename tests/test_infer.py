@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalmark.operators import infer as nf
+from shoalmark.plans.standins import Tables
 
 
 def kalman(y, r, s2):
@@ -140,6 +141,26 @@ def test_chains(draws):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 100, 200), (2, 1, 100, 200), (3, 1, 100, 200)]
 
 
+def test_draws_are_numbered_within_each_event_type(spark, data_dir):
+    t = Tables(spark, data_dir)
+    events = t.base("events").select("event_type", "event_id", "value").toPandas().sort_values("event_id")
+    got = t.draws.toPandas()
+    assert set(got.sampler) == set(events.event_type) and len(got) == len(events)
+    for sampler, g in got.groupby("sampler"):
+        g = g.sort_values("draw_id")
+        assert g.draw_id.tolist() == list(range(len(g)))
+        assert g.V2.to_numpy() == pytest.approx((events[events.event_type == sampler].value / 100).to_numpy())
+
+
+def test_unnumbered_values_change_no_chain_and_no_summary(draws):
+    values, names = draws.drop("draw_id"), {"V1": "log_PE", "V2": "log_q"}
+    chained = [sorted(map(tuple, nf.chain_index(draws, 3, ["sampler"], values=v).collect())) for v in (None, values)]
+    summed = [sorted(map(tuple, nf.posterior_summary(draws, names, values=v).collect())) for v in (None, values)]
+    assert chained[0] == chained[1] and len(summed[0]) == 4
+    for a, b in zip(*summed):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 def test_qq_and_summary(spark, draws):
     names = {"V1": "log_PE", "V2": "log_q"}
     p = draws.toPandas()
