@@ -8,6 +8,7 @@ import random
 import re
 from re import _parser as sre
 
+import numpy as np
 import pytest
 
 from shoalmark.llm import centroids, license_scan, queries, token_alignment
@@ -214,6 +215,20 @@ def samples(signature, rnd):
     return {one(tree) for _ in range(12)}
 
 
+def test_texts_are_cut_where_the_pattern_cuts(tokenizers):
+    speller = token_alignment.Speller(*tokenizers)
+    assert speller.cuttable
+    odd = ["a b", " a b", "a b ", "a  b c", "a \n b c", "a\n b", "a \tb c", "a \u3000b c", "a\u3000 b", "a \u200bb c", "a \ufeffb", " ", "a", "a \xa0b c"]
+    for text in odd:
+        assert speller.units(text) == token_alignment.CUT.split(text), text
+
+
+def test_distinct_keys_are_sorted_once():
+    for keys in ([], [0], [5, 0, 5, 2**62, 0, 7, 7]):
+        got = token_alignment._distinct(np.array(keys, np.int64))
+        assert got.tolist() == sorted(set(keys))
+
+
 def test_every_signature_is_found_through_its_keywords(spark):
     rnd, rules = random.Random(5), lr.rules()
     assert len(rules) >= 300 and len({r.signature for r in rules}) == len(rules)
