@@ -107,6 +107,15 @@ def _rolled(columns) -> np.ndarray:
     return h
 
 
+def units_of(text: str) -> list[str]:
+    """What ``UNIT`` finds: words with the spaces before them, and spaces at the end."""
+    if SPACE * 2 in text or text.endswith(SPACE):
+        return UNIT.findall(text)
+    first, *words = text.split(SPACE)
+    found = [SPACE + w for w in words]
+    return [first, *found] if first else found
+
+
 class Lattice:
     """Edges and totals of distinct units: a state per character, the edges of a state together, longest first."""
 
@@ -313,7 +322,7 @@ def sample_texts(keys: list, texts: list[str | None], pieces: Pieces, k: int, se
         rows, held = [], 0
         while at < len(texts) and held < CHUNK:
             text = pieces.normalised(texts[at] or "")
-            found = UNIT.findall(text)
+            found = units_of(text)
             for u in found:
                 if u not in units:
                     units[u] = len(units)

@@ -57,6 +57,11 @@ def test_samples_follow_the_distribution_without_replacement(pieces):
     assert abs(mass - 1) < 0.02
 
 
+def test_units_are_what_the_pattern_finds():
+    for text in ("", "▁a▁b", "a▁b", "▁a▁▁b", "▁▁a", "▁a▁", "▁", "▁▁", "a", "▁a\n▁b\t", "▁a▁\n"):
+        assert piece_sampling.units_of(text) == piece_sampling.UNIT.findall(text), text
+
+
 def test_round_trip_and_odd_rows(spark):
     texts = ["", None, "a", "  two  spaces\n\ttab ", "héllo wörld 漢字 \U0001f600 \x00", "word " * 3000, "y" * 5000, "the cat"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(7, "the cat", 1), (None, "the cat", 1)], "doc_id long, text string, ids int")
