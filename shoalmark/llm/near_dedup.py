@@ -299,23 +299,24 @@ class _Corpus:
         classes = found.where("n > 0").groupBy("node").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
         self.classes = land(classes)
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """One text of each class that is in a pair."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(self.classes.select("node", F.col("_row").alias("_r")), "node")
+    def hold(self, nodes: DataFrame) -> None:
+        """Land sketch and one text of each class in ``nodes``; pairs are made of these only.
+
+        The texts of all rows are shuffled here, once, and not again for each set of pairs.
+        """
+        wanted = self.classes.join(nodes.select("node").distinct(), "node", "left_semi").withColumnRenamed("_row", "_r")
         # Copies are put together before anything else, so a text that a third of the rows share travels once per task.
         once = self.rows.groupBy("_row").agg(F.first("_text").alias("text"))
-        return land(once.join(wanted, F.col("_row") == F.col("_r")).select("node", "text"))
+        self.held = land(once.join(wanted, F.col("_row") == F.col("_r")).select("node", "n", "bands", "parity", "text"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x))
+        side = lambda x: self.held.select(F.col("node").alias(x), F.col("n").alias("n_" + x), F.col("bands").alias("bands_" + x))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(self.threshold), "a binary, b binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that hold on full sets."""
-        texts = self.texts(pairs)
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        left = pairs.join(self.held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        both = left.join(self.held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return land(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(self.percent, self.width), "a binary, b binary"))
 
 
@@ -355,7 +356,7 @@ def _left_over(corpus: _Corpus, crowded: DataFrame, roots: DataFrame, best: int)
     up_to = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     strays = open_.where("root <> main").withColumn("i", place(F.col("sb"))).withColumn("j", up_to("mb")).withColumn("stray", F.lit(True))
     members = open_.withColumn("j", place(F.col("mb"))).withColumn("i", up_to("sb")).withColumn("stray", F.lit(False))
-    both = strays.unionByName(members).join(corpus.classes.select("node", "bands", "parity"), "node")
+    both = strays.unionByName(members).join(corpus.held.select("node", "bands", "parity"), "node")
     work = both.select("band", "value", "i", "j", "node", "n", "root", "bands", "parity", "stray").repartition("band", "value", "i", "j")
     ordered = work.sortWithinPartitions("band", "value", "i", "j")
     return ordered.mapInArrow(_strays(corpus.percent, best), "a binary, b binary").distinct()
@@ -372,6 +373,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     importable(docs.sparkSession)
     corpus = _Corpus(docs, text, percent, width)
     crowded = _crowded(corpus)
+    corpus.hold(crowded)
     tried = land(corpus.likely(_with_pivots(crowded, percent)))
     links = corpus.links(tried)
     roots = components(links)

@@ -116,6 +116,23 @@ def test_group_of_nearly_similar_texts(spark):
     assert 1 < len(set(want.values())) and got == want
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch, tmp_path):
+    """However many sets of pairs are verified, the texts of all rows are read to be sketched, and to be held."""
+    spark.createDataFrame(list(enumerate(copies(5, 80))), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    read, calls, land, links = [], [], near_dedup.land, near_dedup._Corpus.links
+
+    def counted(df):
+        read.append(any("/docs/" in f for f in df.inputFiles()))
+        return land(df)
+
+    monkeypatch.setattr(near_dedup, "land", counted)
+    monkeypatch.setattr(near_dedup._Corpus, "links", lambda self, pairs: calls.append(1) or links(self, pairs))
+    monkeypatch.setattr(near_dedup, "_left_over", lambda corpus, crowded, roots, best: near_dedup._with_pivots(crowded, 75))
+    monkeypatch.setattr(near_dedup._Corpus, "likely", lambda self, pairs: pairs.limit(2))
+    near_dedup.link(spark.read.parquet(str(tmp_path / "docs")))
+    assert len(calls) == 2 and sum(read) == 2
+
+
 def test_leaks_against_all_shingles(spark):
     rnd = random.Random(4)
     vocabulary = [f"v{i}" for i in range(2000)]
