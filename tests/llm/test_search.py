@@ -370,3 +370,41 @@ def test_archive_of_nothing_and_many_blocks(spark):
     assert 12 <= spark.read.parquet(archive.parts).count() <= 15 and spark.read.parquet(warc.write(many, parts=4).parts).count() == 4
     rows = warc.read(archive, many).collect()
     assert sorted(r.page_id for r in rows) == list(range(1500)) and sum(r.record_type == "response" for r in rows) == 50
+
+
+def test_lines_meet_by_words_with_few_keys(spark):
+    """A key for each of the first runs, shuffled once for both sides, and no pair of near lines is left out."""
+    rnd = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    lines = []
+    for n in (16, 23, 24, 47, 48, 79, 80, 127, 128, 255, 256, 512):
+        e = max(e for least, e in line_dedup.WORD_EDITS if n >= least)
+        for words in ([rnd.choice("abcdefgh") for _ in range(n)], ["a", "b"] * (n // 2), (common * n)[:n]):
+            changed = list(words)
+            for at in rnd.sample(range(n), e):
+                changed[at] = rnd.choice(["x", "y y", "", changed[at] + " z"]) if e == 1 else f"x{at}"
+            lines += [" ".join(words), " ".join(changed)]
+    lines = sorted({" ".join(line.split()) for line in lines})
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    met = line_dedup.meet_by_words(df, line_dedup.WORD_EDITS)
+    got = {(r.s, r.r) for r in met.collect()}
+    rows = [line.split() for line in lines]
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
+            e = max((e for least, e in line_dedup.WORD_EDITS if min(len(a), len(b)) >= least), default=-1)
+            if abs(len(a) - len(b)) <= e and edit_distance(a, b) <= e:
+                assert (i, j) in got, (len(a), len(b), e)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = met.select("r", "s").where("true")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert plan.count("ReusedExchange") == 1
+    run = line_dedup.run_length(line_dedup.WORD_EDITS)
+    assert run == 4 and line_dedup.run_length(((16, 1), (20, 9))) == 2
+    with pytest.raises(ValueError):
+        line_dedup.run_length(((3, 3),))
