@@ -37,7 +37,7 @@ from .common import importable
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of texts that are worked on together; memory is about 200 bytes for each, or for the longest text.
-CHUNK = 1_200_000
+CHUNK = 300_000
 #: Slots, as a power of two, for what a vocabulary holds of one length.
 SEEN_BITS = 18
 _U = np.uint64

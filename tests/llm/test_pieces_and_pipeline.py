@@ -3,6 +3,7 @@
 import collections
 import math
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -154,3 +155,17 @@ def test_registered_query(spark, name):
     assert sorted(cols) == sorted(df.columns)
     order = [df.columns.index(c) for c in cols]
     assert sorted((tuple(r[i] for i in order) for r in rows), key=str) == sorted(cur.fetchall(), key=str)
+
+
+def test_sampling_holds_a_bounded_part_of_a_batch(pieces):
+    """Executors of the pipeline keep what a task has taken; texts of a batch are worked on a part at a time."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(format(i, "x") for i in rnd.integers(0, 1 << 24, 300).tolist()) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in piece_sampling.sample_texts(list(range(len(texts))), texts, pieces, 2, 7))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2 * len(texts)
+    assert peak < 120e6, peak
