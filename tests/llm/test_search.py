@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoalmark.llm import decontaminate, graph, line_dedup, near_dedup, toxicity, warc
 from shoalmark.llm import shingles as sh
@@ -408,3 +409,62 @@ def test_lines_meet_by_words_with_few_keys(spark):
     assert run == 4 and line_dedup.run_length(((16, 1), (20, 9))) == 2
     with pytest.raises(ValueError):
         line_dedup.run_length(((3, 3),))
+
+
+def test_dense_groups_meet_once_and_give_links_only(spark):
+    """Lines of one passage: each near pair is one row, pairs that are apart are none, and rows to compare grow with the lines."""
+    rnd = random.Random(31)
+    passage = [f"w{i}" for i in range(60)]
+    lines = set()
+    while len(lines) < 70:
+        words = list(passage)
+        for at in rnd.sample(range(60), rnd.randint(0, 4)):
+            words[at] = rnd.choice([f"x{rnd.randrange(10**6)}", "", f"{words[at]} y{rnd.randrange(10**6)}"])
+        lines.add(" ".join(" ".join(words).split()))
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    met = [(r.s, r.r, r.sure) for r in line_dedup.meet_by_words(df, line_dedup.WORD_EDITS).collect()]
+    words = [line.split() for line in lines]
+    near = {(i, j) for i in range(70) for j in range(i + 1, 70) if edit_distance(words[i], words[j]) <= 3}
+    assert 0 < len(near) < 70 * 69 // 2
+    assert sorted(met) == sorted((i, j, True) for i, j in near)
+
+
+def test_words_of_one_letter_are_told_apart(spark, monkeypatch):
+    """Where words share a letter, pairs are measured by the words themselves."""
+    monkeypatch.setattr(line_dedup, "code", lambda w: F.xxhash64(w).bitwiseAND(F.lit(7)).bitwiseOR(F.lit(0xF0000000)))
+    rnd = random.Random(32)
+    lines = set()
+    for n in (16, 30, 60, 100):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        for changes in range(10):
+            words = list(base)
+            for at in rnd.sample(range(n), changes):
+                words[at] = f"x{rnd.randrange(10**6)}"
+            lines.add(" ".join(words))
+    lines = sorted(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in line_dedup.classes(docs).collect()}
+    words = [line.split() for line in lines]
+    want = collections.Counter()
+    for i, a in enumerate(words):
+        for j in range(i + 1, len(lines)):
+            e = max(e for least, e in line_dedup.WORD_EDITS if min(len(a), len(words[j])) >= least)
+            if len(a) == len(words[j]) and edit_distance(a, words[j]) <= e:
+                want.update((i, j))
+    assert got == {i: want[i] for i in range(len(lines))}
+    assert any(want.values()) and line_dedup.meet_by_words(docs.toDF("node", "line"), line_dedup.WORD_EDITS).where("not sure").count()
+
+
+@pytest.mark.parametrize("quick", [0, 4000])
+def test_letters_near(spark, monkeypatch, quick):
+    """Lines of any length, by either way, with letters of several bytes."""
+    monkeypatch.setattr(line_dedup, "QUICK", quick)
+    rnd = random.Random(33)
+    rows = []
+    for _ in range(200):
+        x = "".join(rnd.choice("abcdé€😀 ") for _ in range(rnd.randint(3, 40)))
+        rows.append((x, edited(rnd, x, rnd.randint(0, 4))))
+    df = spark.createDataFrame(rows, "x string, y string")
+    for x, y, near in df.select("x", "y", line_dedup.letters_near(df.x, df.y, 2)).collect():
+        assert near == (edit_distance(x, y) <= 2)
